@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, quality, sharding, token_orc, urls
+from . import licenses, line_dedup, near_dup, packing, quality, sharding, token_orc, urls
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_token_orc": token_orc.op2_token_orc,
     "op3_url_cascade": urls.op3_url_cascade,
     "op4_quality_ledger": quality.op4_quality_ledger,
+    "op5_setsketch": near_dup.op5_setsketch,
     "op8_packing": packing.op8_packing,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
