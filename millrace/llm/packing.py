@@ -75,8 +75,8 @@ def _pack(batches, path: str, capacity: int, block_tokens: int):
 
     first = TaskContext.get().partitionId() << 40  # sequences of one task lie together
     doc_ids, ids, n = [], [], 0
-    for rows, got in tokens.encoded(batches, path):
-        for doc_id, x in zip(rows.column("doc_id").to_pylist(), got):
+    for rows, got, ends in tokens.encoded(batches, path):
+        for doc_id, x in zip(rows.column("doc_id").to_pylist(), np.split(got, ends[:-1])):
             doc_ids.append(doc_id)
             ids.append(x)
             n += len(x)

@@ -35,21 +35,20 @@ def _encode(batches, path: str):
     from pyspark import TaskContext
 
     shard, pos = TaskContext.get().partitionId(), 0
-    for rows, ids in tokens.encoded(batches, path):
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = np.cumsum(lengths)
+    for rows, ids, ends in tokens.encoded(batches, path):
+        starts = np.concatenate([[0], ends])
         yield pa.RecordBatch.from_arrays(
             [
                 rows.column("doc_id"),
                 rows.column("tie"),
-                pa.array(np.full(len(ids), shard, np.int32)),
-                pa.array(pos + ends - lengths),
-                pa.array(lengths),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(ids))),
+                pa.array(np.full(len(ends), shard, np.int32)),
+                pa.array(pos + starts[:-1]),
+                pa.array(np.diff(starts)),
+                pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)),
             ],
             names=["doc_id", "tie", "shard", "pos", "n_tokens", "ids"],
         )
-        pos += int(lengths.sum())
+        pos += len(ids)
 
 
 def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:

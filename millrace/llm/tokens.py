@@ -7,20 +7,24 @@ the pieces it has met and hands only new ones to the tokenizers library.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
 #: Pieces kept by a worker before it starts anew, and their mean length at most.
 CACHE_PIECES = 600_000
 CACHE_CHARS = 64
-BATCH_TEXTS = 256
-#: Plain words encoded in one call.
+BATCH_TEXTS, BATCH_BYTES = 2048, 8 << 20
+#: Plain words encoded in one text.
 JOINED_WORDS = 1000
+#: Texts that hold these are left as they are: characters that may compose or have
+#: several lower cases, special tokens, marks that may belong to a run of marks.
+_UNSAFE = "[^\u0000-\u00ff]|<\\||(^|[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,] "
 
 
 def default_path() -> str:
@@ -29,27 +33,16 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A mark that follows neither letter nor digit may belong to a longer run of marks.
-_BOUND_MARK = re.compile(r"(?<![A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,] ")
-
-
-def _pieces(text: str) -> list[str]:
-    """Parts of a text that the vocabulary encodes one by one.
+def _pieces(texts: pa.Array) -> pa.ListArray:
+    """Parts of each text that the vocabulary encodes one by one.
 
     Texts of Latin-1 characters are composed already and have one lower case, so
     they can be lowered first; a full stop or comma between a letter or digit and
     a space is a token of its own.
     """
-    text = text.replace("\n", " ") + " "
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split(" ")
-        text = text.lower()
-        if not _BOUND_MARK.search(text):
-            text = text.replace(". ", " . ").replace(", ", " , ")
-    return text.split(" ")
+    spaced = pc.binary_join_element_wise(pc.replace_substring(texts, "\n", " "), "", " ")
+    parted = pc.replace_substring(pc.replace_substring(pc.utf8_lower(spaced), ". ", " . "), ", ", " , ")
+    return pc.split_pattern(pc.if_else(pc.match_substring_regex(spaced, _UNSAFE), spaced, parted), " ")
 
 
 class Encoder:
@@ -68,6 +61,10 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        # Tokens that end a word, by id.
+        vocabulary = self.full.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for x, i in vocabulary.items() if x.endswith(self.full.model.end_of_word_suffix)]] = True
         # Byte-level names of the letters beyond ASCII.
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.names = [(c, level.pre_tokenize_str(c)[0][0]) for c in map(chr, range(0x80, 0x100)) if c.isalpha() and c == c.lower()]
@@ -100,34 +97,39 @@ class Encoder:
                 text = text.replace(mark, name)
         return text
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         self.chars += len("".join(new))
         plain = [x for x in new if x.isalpha() and (x.isascii() or max(x) < "\u0100")]
-        rest = list(new.difference(plain))
+        rest = list(set(new).difference(plain))
         got = [x.ids for x in self.full.encode_batch_fast(rest, add_special_tokens=False)]
         self._keep(rest, np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got)))
-        for at in range(0, len(plain), JOINED_WORDS):
-            some = plain[at : at + JOINED_WORDS]
-            out = self.plain.encode(self._named(" ".join(some).lower()), add_special_tokens=False)
-            of = np.array(out.word_ids, np.int64)
-            self._keep(some, np.array(out.ids, np.int32), np.bincount(of, minlength=len(some)))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        joined = self._named("\n".join(" ".join(plain[i : i + JOINED_WORDS]) for i in range(0, len(plain), JOINED_WORDS)).lower()).split("\n")
+        got = self.plain.encode_batch_fast(joined if plain else [], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in got), np.int32)
+        last = np.flatnonzero(self.ends_word[ids])
+        if len(last) != len(plain):
+            raise ValueError("the vocabulary doesn't mark word ends")
+        self._keep(plain, ids, np.diff(last, prepend=-1))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, end of each text's ids)."""
         if len(self.slots) > CACHE_PIECES or self.chars > CACHE_PIECES * CACHE_CHARS:
             self._forget()
-        split = [_pieces(text) for text in texts]
-        met = set().union(*split)
-        self._learn(met - self.slots.keys())
-        out = []
-        for x in split:
-            slots = np.fromiter(map(self.slots.__getitem__, x), np.int64, len(x))
-            starts = self.ends[slots]
-            lengths = self.ends[slots + 1] - starts
-            ends = np.cumsum(lengths)
-            ids = np.full(ends[-1] + 1, END_ID, np.int32)
-            ids[:-1] = self.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
-            out.append(ids)
-        return out
+        split = _pieces(texts)
+        coded = split.values.dictionary_encode()
+        met = coded.dictionary.to_pylist()
+        self._learn([x for x in met if x not in self.slots])
+        slots = np.fromiter(map(self.slots.__getitem__, met), np.int64, len(met))[coded.indices.to_numpy()]
+        starts = self.ends[slots]
+        lengths = self.ends[slots + 1] - starts
+        ends = np.cumsum(lengths)
+        ids = self.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        # Every text is followed by the end id.
+        stops = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        per_text = np.diff(stops)
+        out = np.full(len(ids) + len(texts), END_ID, np.int32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), per_text)] = ids
+        return out, stops[1:] + np.arange(1, len(texts) + 1)
 
 
 @lru_cache(maxsize=2)
@@ -135,10 +137,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(batches: Iterator, path: str, text: str = "text") -> Iterator[tuple[object, list[np.ndarray]]]:
-    """(slice of a record batch, ids of each of its texts), a bounded number of texts at a time. Null: empty."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(slice of a record batch, ids, ends) as Encoder.encode gives them, a bounded size of texts at a time. Null: empty."""
     enc = encoder(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_TEXTS):
-            rows = batch.slice(at, BATCH_TEXTS)
-            yield rows, enc.encode([x or "" for x in rows.column(text).to_pylist()])
+        texts = pc.fill_null(batch.column(text), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            size = np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES) - at
+            n = max(1, min(int(size), BATCH_TEXTS))
+            yield batch.slice(at, n), *enc.encode(texts.slice(at, n))
+            at += n
