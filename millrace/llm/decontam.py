@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import saved, side
 
 SHINGLE_WORDS = 5
 #: Contained: PERCENT of the item's distinct shingles occur in the document.
@@ -21,8 +21,6 @@ PERCENT = 75
 #: candidate holds. Items of the first class are sampled whole; in the others, an item
 #: at the threshold misses with a probability below 3e-7.
 CLASSES = ((16, 16, None), (64, 16, 2), (256, 24, 5), (None, 32, 8))
-#: A side above this size isn't broadcast.
-BROADCAST_MB = 32
 
 
 def _words(text: Column) -> Column:
@@ -38,11 +36,6 @@ def _shingles(words: Column, widths: list[int]) -> Column:
     return F.array_distinct(F.concat(*map(of, widths)))
 
 
-def _side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, a saved table, broadcast if its rows are small enough together; else Spark shuffles it."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_MB * 1e6 else df
-
-
 def sketch_items(items: DataFrame) -> DataFrame:
     """item_id, width, n, shingles, sample, need of items(item_id, text); items without words are left out.
 
@@ -74,11 +67,11 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         return own.limit(0).select("doc_id", "th", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared"))
     rows = own.select("doc_id", "th", _words(F.col("text")).alias("words"))
     samples = saved(items.select("item_id", "n", "need", F.explode("sample").alias("shingle")), "item-samples")
-    hits = rows.select("doc_id", "th", F.explode(_shingles(F.col("words"), widths)).alias("shingle")).join(_side(samples, 40), "shingle")
+    hits = rows.select("doc_id", "th", F.explode(_shingles(F.col("words"), widths)).alias("shingle")).join(side(samples, 40), "shingle")
     counted = hits.groupBy("doc_id", "th", "item_id", "n", "need").agg(F.count_distinct("shingle").alias("held"))
     found = saved(counted.where("held >= need").select("doc_id", "th", "item_id", "n"), "item-candidates")
     wanted = saved(found.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct(), "item-documents")
-    texts = own.join(_side(wanted, 24), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("d", "t", "text")
+    texts = own.join(side(wanted, 24), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("d", "t", "text")
     full = texts.dropDuplicates(["d", "t"]).select("d", "t", _words(F.col("text")).alias("words"))
     full = full.select("d", "t", _shingles(F.col("words"), widths).alias("have"))
     pairs = found.join(full, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).join(items.select("item_id", "n", "shingles"), ["item_id", "n"])

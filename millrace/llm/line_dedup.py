@@ -16,19 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import saved, side
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: Shorter lines stay as they are: headings, list marks and single words repeat by nature.
 MIN_WORDS = 4
 #: Lines of fewer words are compared exactly only: one word is too much of them.
 NEAR_MIN_WORDS = 8
-#: A side above this size isn't broadcast.
-BROADCAST_MB = 32
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+    """Words between ASCII white space, as rows of their own so that they are split once."""
+    return F.explode(F.array(F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")))
 
 
 def _order(doc_id: Column, th: Column, pos: Column) -> Column:
@@ -36,21 +34,16 @@ def _order(doc_id: Column, th: Column, pos: Column) -> Column:
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), th.alias("th"), pos.alias("pos"))
 
 
-def _side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, a saved table, broadcast if its rows are small enough together; else Spark shuffles it."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_MB * 1e6 else df
-
-
 def _halves(words: Column) -> Column:
     """Keys of the halves that a line shares with a line one edit away."""
     n = F.size(words)
     keys = []
-    # Between lines of n and n or n + 1 words, (n - 1) div 2 words at either end are equal.
-    for shorter in (n, n - 1):
-        a = F.floor((shorter - 1) / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("head"), a, F.slice(words, F.lit(1), a)))
-        keys.append(F.xxhash64(F.lit("tail"), a, F.slice(words, n - a + 1, a)))
-    return F.array_distinct(F.array(*keys))
+    # Lines of m and m or m + 1 words, one edit apart, share (m - 1) div 2 words at either end.
+    for m in (n, n - 1):
+        a = F.floor((m - 1) / 2).cast("int")
+        keys.append(F.xxhash64(m, F.lit("head"), F.slice(words, F.lit(1), a)))
+        keys.append(F.xxhash64(m, F.lit("tail"), F.slice(words, n - a + 1, a)))
+    return F.array(*keys)
 
 
 def _occurrences(docs: DataFrame, min_words: int, near_min_words: int) -> DataFrame:
@@ -71,7 +64,7 @@ def _lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     of_doc = saved(places.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.pos").alias("want")), "lines-wanted")
     own = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
-    found = own.join(_side(of_doc, 200), (F.col("t") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id")))
+    found = own.join(side(of_doc, 200), (F.col("t") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id")))
     lines = found.select("doc_id", "th", F.split("text", "\n").alias("lines"), F.explode("want").alias("pos"))
     return lines.select(_order(F.col("doc_id"), F.col("th"), F.col("pos")).alias("at"), _words(F.col("lines")[F.col("pos")]).alias("words")).dropDuplicates(["at"])
 
@@ -93,25 +86,25 @@ def near_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
     keyed = first.where("halves is not null").select("at", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     live = saved(keyed.join(shared, "half", "left_semi").select("at").distinct(), "live-lines")
-    lines = saved(_lines_at(docs, live), "live-words")
+    lines = _lines_at(docs, live).repartitionByRange("at").sortWithinPartitions("at")
+    lines = saved(lines.withColumn("id", F.monotonically_increasing_id()), "live-words")  # ids in order of at
     n = F.size("words")
-    without = lambda i: F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))
-    variants = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.array(
-            F.struct(F.lit("replace").alias("kind"), F.xxhash64(F.lit("replace"), i, n, without(i)).alias("key")),
-            F.struct(F.lit("delete").alias("kind"), F.xxhash64(F.lit("spell"), without(i)).alias("key")),
-        ),
+    rest = lambda i: F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n)))
+    rests = lines.select("id", n.alias("n"), F.explode(F.array(F.transform(F.sequence(F.lit(1), n), rest))).alias("rests"), F.xxhash64("words").alias("own"))
+    kind = lambda k, key: F.struct(F.lit(k).alias("kind"), key.alias("key"))
+    variants = F.concat(
+        F.array(kind("self", F.col("own"))),
+        F.transform("rests", lambda r, i: kind("replace", F.xxhash64(r, i, "n"))),
+        F.transform("rests", lambda r: kind("delete", r)),
     )
-    own = F.array(F.struct(F.lit("self").alias("kind"), F.xxhash64(F.lit("spell"), "words").alias("key")))
-    emitted = lines.select("at", F.explode(F.concat(own, F.flatten(variants))).alias("v")).select("at", "v.kind", "v.key")
-    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at")))
+    emitted = saved(rests.select("id", F.inline(variants)), "line-variants")
+    least = lambda k: F.min(F.when(F.col("kind") == k, F.col("id")))
     groups = emitted.groupBy("key").agg(least("replace").alias("r"), least("self").alias("s"), least("delete").alias("d"), F.count("*").alias("n")).where("n > 1")
     # The earliest line near a member by this key, if it is before it.
     partner = F.when(F.col("kind") == "replace", F.col("r")).when(F.col("kind") == "delete", F.col("s")).otherwise(F.col("d"))
-    pairs = emitted.join(groups, "key").select("at", partner.alias("by")).where("by < at").distinct()
-    texts = lambda name: lines.select(F.col("at").alias(name), F.col("words").alias(f"{name}_words"))
-    verified = pairs.join(texts("at"), "at").join(texts("by"), "by").where(within_one_edit(F.col("at_words"), F.col("by_words")))
+    pairs = emitted.join(groups, "key").select("id", partner.alias("by")).where("by < id").distinct()
+    texts = lambda x, *more: lines.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"), *more)
+    verified = pairs.join(texts("id", "at"), "id").join(texts("by"), "by").where(within_one_edit(F.col("id_words"), F.col("by_words")))
     return verified.select("at").distinct()
 
 
@@ -122,10 +115,10 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: i
     first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     first = saved(first, "first-lines")
     copies = saved(first.where("n > 1").select("h1", "h2", F.col("at").alias("kept")), "copied-lines")
-    again = lines.join(_side(copies, 64), ["h1", "h2"]).where("at > kept").select("at")
+    again = lines.join(side(copies, 64), ["h1", "h2"]).where("at > kept").select("at")
     near = near_earlier(docs, first.select("at", "halves"))
     gone = saved(first.join(near, "at", "left_semi").select("h1", "h2"), "near-lines")
-    edited = lines.join(_side(gone, 32), ["h1", "h2"], "left_semi").select("at")
+    edited = lines.join(side(gone, 32), ["h1", "h2"], "left_semi").select("at")
     both = again.unionByName(edited)
     return both.groupBy("at.doc_id", "at.th").agg(F.sort_array(F.collect_set("at.pos")).alias("removed"))
 
@@ -145,7 +138,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_r"))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    joined = docs.drop("lines_total", "lines_removed").join(_side(gone, 100), (F.xxhash64(text) == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    joined = docs.drop("lines_total", "lines_removed").join(side(gone, 100), (F.xxhash64(text) == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     return (
         joined.withColumn("lines_total", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
         .withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(rest))

@@ -75,8 +75,8 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) > window, found).otherwise(F.lit(0).cast("long"))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, MEASURES, failed (bits of RULES that fail) for each row of docs(doc_id, text).
+def ledger(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, MEASURES, failed (bits of RULES that fail) for each row of docs(doc_id, text), and more columns of docs.
 
     Null and empty texts have no words. A line counts if it has a word; each copy
     of an earlier line counts once in n_dup_lines. Repeated rows and null doc_ids
@@ -84,6 +84,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
+        *more,
         "doc_id",
         text.alias("text"),
         F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
@@ -91,6 +92,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     )
     long = lambda c: c.cast("long")
     measured = rows.select(
+        *more,
         "doc_id",
         long(F.size("words")).alias("n_words"),
         long(F.length(F.array_join("words", ""))).alias("word_chars"),
@@ -111,6 +113,12 @@ def apply_policy(rows: DataFrame, policy: str = "v2") -> DataFrame:
     return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
 
 
+def keep_documents(docs: DataFrame, policy: str = "v2") -> DataFrame:
+    """The rows of docs, all columns, that a policy keeps."""
+    rows = ledger(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row")), "whole_row")
+    return apply_policy(rows, policy).where("kept").select("whole_row.*")
+
+
 def ablations(rows: DataFrame, policy: str = "v2") -> DataFrame:
     """For each rule of a policy: rows it fails, and rows that it alone rejects, from one pass over the ledger."""
     all_bits = F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy])))

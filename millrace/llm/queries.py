@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, near_dup, packing, quality, sharding, token_orc, urls
+from . import decontam, licenses, line_dedup, near_dup, packing, pii, quality, sharding, token_orc, urls
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,12 +10,15 @@ QUERIES = {
     "op3_url_cascade": urls.op3_url_cascade,
     "op4_quality_ledger": quality.op4_quality_ledger,
     "op5_setsketch": near_dup.op5_setsketch,
+    "op6_pii_field": pii.op6_pii_field,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES = {
+    "op7_decontamination": decontam.ORACLE_SQL,
     "op3_url_cascade": urls.ORACLE_SQL,
     "op4_quality_ledger": quality.ORACLE_SQL,
 }

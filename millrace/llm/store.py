@@ -10,6 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join above this size isn't broadcast.
+BROADCAST_MB = 32
 
 _LOCAL: dict[str, str] = {}
 
@@ -49,3 +53,8 @@ def delete(df: DataFrame) -> None:
         if "/millrace/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, a saved table, broadcast if its rows are small enough together; else Spark shuffles it."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_MB * 1e6 else df
