@@ -1,10 +1,637 @@
-"""Queries over the driver's tables, and the SQL that gives the same rows."""
+"""Queries over the driver's tables, and the SQL that gives the same rows.
+
+The tables stand in for catalogs: parts, orders and customers for items, events of
+a user for the extents of a map, order lines for blocks and references.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERIES = {
-    "catalog_list": lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.lower("p_name").alias("title")),
-}
-ORACLES = {"catalog_list": "SELECT p_partkey, lower(p_name) AS title FROM part"}
+from ..functions import patterns as P
+from ..functions import scalars as S
+from ..operators import catalog, extents, integrity, merge
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, read as they are asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str):
+    """Register a function of Tables under its name, with its SQL."""
+
+    def register(make: Callable[[Tables], DataFrame]):
+        QUERIES[make.__name__] = lambda spark, folder: make(Tables(spark, folder))
+        ORACLES[make.__name__] = sql
+        return make
+
+    return register
+
+
+# --- catalogs
+
+_ITEMS = "SELECT p_partkey AS key, upper(p_type) AS id, p_name AS name, p_size * 1048576 + p_partkey * 1000 AS size, p_brand FROM part"
+
+
+def _items(t: Tables) -> DataFrame:
+    return t.part.select(
+        F.col("p_partkey").alias("key"), F.upper("p_type").alias("id"), F.col("p_name").alias("name"),
+        (F.col("p_size") * 1048576 + F.col("p_partkey") * 1000).alias("size"), "p_brand",
+    )
+
+
+_TITLES = [("ECONOMY", "Economy class"), ("SMAL", "Small things"), ("PROM", "Promotions"), ("LARGE", "Large things"), ("STAN", "Standard class")]
+_TITLE_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _TITLES) + ") AS x(id, title)"
+
+
+@query(f"""
+WITH i AS ({_ITEMS}), x AS (SELECT * FROM {_TITLE_SQL}),
+j AS (SELECT i.*, coalesce(a.title, b.title, i.name) AS title FROM i LEFT JOIN x a ON a.id = i.id
+  LEFT JOIN x b ON length(b.id) = 4 AND b.id = substr(i.id, 1, 4)),
+u AS (SELECT *, row_number() OVER (PARTITION BY id, name, (size + 524288) // 1048576 ORDER BY key) AS nth FROM j)
+SELECT key, id, title, name, ((size + 524288) // 1048576)::BIGINT AS size_mib,
+  row_number() OVER (ORDER BY lower(title), lower(name), id, key)::BIGINT AS place FROM u WHERE nth = 1
+""")
+def catalog_list(t: Tables) -> DataFrame:
+    items = catalog.with_title(_items(t), t.spark.createDataFrame(_TITLES, "id string, title string"), "id", F.col("name"))
+    items = items.withColumn("size_mib", S.half_up(F.col("size"), S.MIB))
+    kept = catalog.first_of(items, ["id", "name", "size_mib"], ["key"])
+    place = F.row_number().over(W.orderBy(*catalog.sort_key("title"), "key")).cast("long")
+    return kept.select("key", "id", "title", "name", "size_mib", place.alias("place"))
+
+
+@query("""
+SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, n_chars ORDER BY doc_id) AS n FROM documents) WHERE n = 1
+""")
+def unique_items(t: Tables) -> DataFrame:
+    return catalog.first_of(t.documents, ["lang", "source", "n_chars"], ["doc_id"]).select("doc_id", "lang", "source")
+
+
+@query("""
+SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents) WHERE n = 1
+""")
+def unique_ids(t: Tables) -> DataFrame:
+    return catalog.first_of(t.documents, ["lang", "source"], ["doc_id"]).select("doc_id", "lang", "source")
+
+
+@query("""
+SELECT o_orderpriority AS grp, count(*) AS n, sum(o_custkey)::BIGINT AS total FROM orders GROUP BY ROLLUP (o_orderpriority)
+""")
+def totals_footer(t: Tables) -> DataFrame:
+    return catalog.totals(t.orders, "o_orderpriority", "o_custkey").withColumnRenamed("o_orderpriority", "grp")
+
+
+@query("SELECT DISTINCT upper(substr(p_type, 1, 4)) AS id FROM part")
+def distinct_ids(t: Tables) -> DataFrame:
+    return t.part.select(F.upper(F.substring("p_type", 1, 4)).alias("id")).distinct()
+
+
+def _sorted(mode: str, reverse: bool = False):
+    def make(t: Tables) -> DataFrame:
+        items = _items(t).select("key", "id", "name", "size", F.lower("p_brand").alias("title"))
+        order = [*catalog.sort_key(mode, reverse), F.col("key").desc() if reverse else F.col("key").asc()]
+        return items.select("key", F.row_number().over(W.orderBy(*order)).cast("long").alias("place"))
+
+    return make
+
+
+def _sort_sql(keys: str, reverse: bool = False) -> str:
+    order = ", ".join(k + " DESC" * reverse for k in [*keys.split("; "), "key"])
+    return f"WITH i AS ({_ITEMS}) SELECT key, row_number() OVER (ORDER BY {order}) AS place FROM (SELECT *, lower(p_brand) AS title FROM i)"
+
+
+_CHAIN_SQL = "lower(title); lower(name); id"
+for _mode, _keys, _reverse in (
+    ("title", _CHAIN_SQL, False),
+    ("name", f"lower(name); {_CHAIN_SQL}", False),
+    ("id", f"id; {_CHAIN_SQL}", True),
+    ("size", f"size; {_CHAIN_SQL}", True),
+    ("region", f"substr(id, 4, 1); {_CHAIN_SQL}", False),
+):
+    QUERIES[f"sort_by_{_mode}"] = lambda spark, folder, make=_sorted(_mode, _reverse): make(Tables(spark, folder))
+    ORACLES[f"sort_by_{_mode}"] = _sort_sql(_keys, _reverse)
+
+_PATH_SQL = "regexp_replace(url, '^[^:]*://', '')"
+
+
+@query(f"""
+SELECT page_id, row_number() OVER (ORDER BY [{{'a': lower(c), 'b': c}} FOR c IN regexp_extract_all({_PATH_SQL}, '[^/]*/|[^/]+')], page_id) AS place FROM pages
+""")
+def sort_by_path(t: Tables) -> DataFrame:
+    path = F.regexp_replace("url", "^[^:]*://", "")
+    return t.pages.select("page_id", F.row_number().over(W.orderBy(S.path_key(path), "page_id")).cast("long").alias("place"))
+
+
+@query("""
+SELECT user_id, event_id, CASE WHEN first <> event_id THEN first END AS link_to
+FROM (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS first FROM events)
+""")
+def hard_links(t: Tables) -> DataFrame:
+    files = t.events.select(F.col("user_id").alias("dev"), F.col("event_type").alias("ino"), F.col("event_id").alias("path"))
+    return catalog.first_links(files).select(F.col("dev").alias("user_id"), F.col("path").alias("event_id"), "link_to")
+
+
+@query("""
+SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'Little' WHEN 'LARGE' THEN 'Big' ELSE 'Other' END AS new_name FROM part
+""")
+def rename_mapping(t: Tables) -> DataFrame:
+    mapping = t.spark.createDataFrame([("SMALL", "Little"), ("LARGE", "Big"), ("+", "Other")], "selector string, new_name string")
+    return catalog.rename(t.part, mapping, "p_type").select("p_partkey", "new_name")
+
+
+@query("""
+SELECT p_type, last FROM (SELECT p_type, p_partkey AS last, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey DESC) AS n FROM part) WHERE n = 1
+""")
+def last_definition_wins(t: Tables) -> DataFrame:
+    return catalog.last_wins(t.part, ["p_type"], "p_partkey").select("p_type", F.col("p_partkey").alias("last"))
+
+
+@query("""
+WITH v AS (SELECT l_suppkey, l_linenumber, count(*) AS n, max(l_shipdate) AS newest FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, l_linenumber, n, row_number() OVER (ORDER BY newest DESC, n DESC, l_suppkey, l_linenumber)::BIGINT AS rank
+FROM v WHERE n * 4 >= (SELECT max(n) FROM v)
+""")
+def geometry_vote(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_suppkey", "l_linenumber", F.col("l_shipdate").alias("mtime"))
+    return catalog.inode_vote(rows, ["l_suppkey", "l_linenumber"]).select("l_suppkey", "l_linenumber", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+SELECT 'customer' AS kind, c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier
+""")
+def union_of_catalogs(t: Tables) -> DataFrame:
+    part = lambda df, kind, p: df.select(F.lit(kind).alias("kind"), F.col(f"{p}_{'cust' if p == 'c' else 'supp'}key").alias("key"), F.col(f"{p}_name").alias("name"))
+    return part(t.customer, "customer", "c").unionByName(part(t.supplier, "supplier", "s"))
+
+
+# --- predicates
+
+
+@query("""
+SELECT c_custkey, (c_mktsegment IN ('BUILDING', 'FURNITURE') OR NOT c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')) AS excluded,
+  (NOT c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')) AND c_mktsegment IN ('BUILDING', 'FURNITURE') AS excluded_include_first
+FROM customer
+""")
+def include_exclude(t: Tables) -> DataFrame:
+    inside = F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD")
+    outside = F.col("c_mktsegment").isin("BUILDING", "FURNITURE")
+    return t.customer.select("c_custkey", P.excluded(inside, outside, True).alias("excluded"), P.excluded(inside, outside, True, True).alias("excluded_include_first"))
+
+
+@query("""
+SELECT p_partkey, regexp_full_match(upper(substr(p_name, 1, 6)), '.ED W.|S.....') AS hit FROM part
+""")
+def id_patterns(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", P.id_in(F.substring("p_name", 1, 6), [".ed w.", "s+"]).alias("hit"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN upper(p_type) LIKE 'S_A%' THEN true WHEN upper(p_type) LIKE 'S%' THEN false WHEN upper(p_type) LIKE 'E%' THEN true ELSE false END AS keep FROM part
+""")
+def ordered_id_rules(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", P.id_rules(F.col("p_type"), [("+", "s.a"), ("-", "s"), ("+", "e")]).alias("keep"))
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]*://[^/]*(/[^?#]*)', 1) AS path FROM pages)
+SELECT page_id, regexp_matches(path, '[^/]*[.]html$') AS page, path LIKE '/en/%' AS english,
+  regexp_matches(path, '/(fr|de)/[0-9]+$') AS numbered, regexp_matches(path, '/[0-9]+/$') AS folder FROM p
+""")
+def path_globs(t: Tables) -> DataFrame:
+    path = F.regexp_extract("url", "^[^:]*://[^/]*(/[^?#]*)", 1)
+    slashed = F.concat(F.lit("x"), path)
+    return t.pages.select(
+        "page_id", P.glob_matches(path, "*.html").alias("page"), P.glob_matches(F.substring(path, 2, 1 << 20), "/en/").alias("english"),
+        P.glob_matches(slashed, "{/fr,/de}/#").alias("numbered"), P.glob_matches(slashed, "[+/]#/").alias("folder"),
+    )
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]*://[^/]*(/[^?#]*)', 1) AS path FROM pages)
+SELECT page_id, CASE WHEN path LIKE '%.html' THEN (CASE WHEN path LIKE '%/' THEN true ELSE false END)
+  WHEN NOT regexp_matches(path, '/en/[^/]*/?$') AND false THEN true
+  WHEN regexp_matches(path, '/fr/[0-9]+$') THEN false WHEN path LIKE '%/' THEN true ELSE false END AS keep FROM p
+""")
+def path_rules(t: Tables) -> DataFrame:
+    path = F.regexp_extract("url", "^[^:]*://[^/]*(/[^?#]*)", 1)
+    return t.pages.select("page_id", P.path_rules(path, [("+", 1, "*.html"), ("-", 0, "fr/#"), ("+", 0, "*/")]).alias("keep"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN false WHEN l_linenumber < 4 THEN true ELSE false END AS selected FROM lineitem
+""")
+def part_selector(t: Tables) -> DataFrame:
+    rules = [("-", F.col("l_linestatus") == "F", F.col("l_returnflag") == "R"), ("+", None, F.col("l_linenumber") < 4)]
+    return t.lineitem.select("l_orderkey", "l_linenumber", P.select_parts(rules).alias("selected"))
+
+
+@query("""
+SELECT count(*) FILTER (l_linenumber BETWEEN 2 AND 4) AS a_to_b, count(*) FILTER (l_linenumber <= 3) AS to_b,
+  count(*) FILTER (l_linenumber >= 5) AS from_a, count(*) FILTER (l_linenumber = 6) AS one, 0::BIGINT AS turned FROM lineitem
+""")
+def slot_ranges(t: Tables) -> DataFrame:
+    n = lambda text, name: F.count_if(P.in_range(F.col("l_linenumber"), text, 1, 7)).alias(name)
+    return t.lineitem.agg(n("2-4", "a_to_b"), n("-3", "to_b"), n("5-", "from_a"), n("6", "one"), n("4-2", "turned"))
+
+
+@query("""
+SELECT page_id, url FROM pages WHERE len(string_split(regexp_replace(url, '^[^:]*://', ''), '/')) <= 3
+""")
+def depth_limit(t: Tables) -> DataFrame:
+    return t.pages.where(F.size(F.split(F.regexp_replace("url", "^[^:]*://", ""), "/")) <= 3).select("page_id", "url")
+
+
+# --- merging
+
+_SOURCE = "SELECT o_custkey::VARCHAR AS id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate END AS mtime, o_orderkey AS path FROM orders WHERE o_orderkey % 3 = 0"
+_TARGET = "SELECT CASE WHEN o_custkey % 7 = 0 THEN '_' ELSE '' END || o_custkey AS id, max(o_orderdate) AS mtime FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL"
+
+
+def _source(t: Tables) -> DataFrame:
+    time = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate"))
+    return t.orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("id"), time.alias("mtime"), F.col("o_orderkey").alias("path"))
+
+
+def _target(t: Tables) -> DataFrame:
+    ident = F.concat(F.when(F.col("o_custkey") % 7 == 0, "_").otherwise(""), F.col("o_custkey").cast("string"))
+    return t.orders.where("o_orderkey % 4 = 0").groupBy(ident.alias("id")).agg(F.max("o_orderdate").alias("mtime"))
+
+
+_NEWER = "CASE WHEN s.mtime IS NULL OR s.mtime > t.mtime THEN 'replace' ELSE 'skip' END"
+for _mode, _present in (("add", "'exists'"), ("update", "'skip'"), ("new", _NEWER), ("overwrite", "'replace'"), ("sync", _NEWER)):
+    QUERIES[f"merge_{_mode}"] = lambda spark, folder, mode=_mode: (
+        merge.plan(_source(Tables(spark, folder)), _target(Tables(spark, folder)), mode).groupBy("id", "action").agg(F.count("*").alias("n"))
+    )
+    ORACLES[f"merge_{_mode}"] = f"""
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY path) AS nth FROM ({_SOURCE})), t AS ({_TARGET}),
+p AS (SELECT s.id, CASE WHEN nth > 1 THEN 'exists' WHEN t.id IS NULL THEN 'add' ELSE {_present} END AS action FROM s LEFT JOIN t ON t.id = s.id
+  {"UNION ALL SELECT id, 'remove' FROM t WHERE id NOT IN (SELECT id FROM s) AND id NOT LIKE '#_%' ESCAPE '#'" if _mode == "sync" else ""})
+SELECT id, action, count(*) AS n FROM p GROUP BY ALL"""
+
+
+@query("SELECT s_suppkey AS key FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 500 = 0)")
+def unused_parameters(t: Tables) -> DataFrame:
+    return merge.unused(t.supplier.select(F.col("s_suppkey").alias("key")), t.lineitem.where("l_orderkey % 500 = 0").select(F.col("l_suppkey").alias("key")), "key")
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS there FROM customer")
+def existence(t: Tables) -> DataFrame:
+    there = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("there", F.lit(True))
+    return t.customer.select("c_custkey").join(there, "c_custkey", "left").select("c_custkey", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+# --- extents
+
+_EXT = "SELECT user_id, event_id, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS off, 600 + event_id % 7 * 6000 AS size FROM events"
+
+
+def _ext(t: Tables) -> DataFrame:
+    off = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))) - F.lit(1704067200)
+    return t.events.select("user_id", "event_id", off.alias("off"), (600 + F.col("event_id") % 7 * 6000).alias("size"))
+
+
+def _islands_sql(sign: str) -> str:
+    return f"""
+WITH e AS ({_EXT}), m AS (SELECT *, max(off + size) OVER (PARTITION BY user_id ORDER BY off, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR off {sign} reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY off, size ROWS UNBOUNDED PRECEDING) AS i FROM m)
+SELECT user_id, min(off) AS off, max(off + size) - min(off) AS size FROM n GROUP BY user_id, i"""
+
+
+@query(_islands_sql(">"))
+def interval_union(t: Tables) -> DataFrame:
+    return extents.islands(_ext(t), ["user_id"])
+
+
+@query(_islands_sql(">="))
+def interval_union_overlap(t: Tables) -> DataFrame:
+    return extents.islands(_ext(t), ["user_id"], touching=False)
+
+
+@query(f"""
+WITH a AS ({_islands_sql(">")}), g AS (SELECT user_id, off + size AS off, lead(off) OVER (PARTITION BY user_id ORDER BY off) - off - size AS size FROM a)
+SELECT * FROM g WHERE size > 0
+""")
+def unused_gaps(t: Tables) -> DataFrame:
+    return extents.gaps(_ext(t), ["user_id"])
+
+
+@query(f"""
+WITH e AS ({_EXT}), p AS (SELECT DISTINCT user_id, unnest([off, off + size]) AS p FROM e),
+s AS (SELECT user_id, p AS off, lead(p) OVER (PARTITION BY user_id ORDER BY p) AS e FROM p),
+c AS (SELECT s.* FROM s WHERE e IS NOT NULL
+  AND EXISTS (SELECT 1 FROM e x WHERE x.user_id = s.user_id AND x.event_id % 2 = 0 AND x.off <= s.off AND x.off + x.size >= s.e)
+  AND NOT EXISTS (SELECT 1 FROM e x WHERE x.user_id = s.user_id AND x.event_id % 2 = 1 AND x.off <= s.off AND x.off + x.size >= s.e))
+SELECT user_id, sum(e - off)::BIGINT AS left_over FROM c GROUP BY user_id
+""")
+def interval_subtraction(t: Tables) -> DataFrame:
+    e = _ext(t)
+    left = extents.subtract(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"])
+    return left.groupBy("user_id").agg(F.sum("size").alias("left_over"))
+
+
+@query(f"""
+WITH e AS ({_EXT}), a AS (SELECT user_id, event_id * 1000 AS src, off AS mid, size FROM e WHERE event_id % 2 = 0),
+b AS (SELECT user_id, off AS mid, event_id * 7 AS dst, size FROM e WHERE event_id % 2 = 1)
+SELECT a.user_id, a.src + greatest(a.mid, b.mid) - a.mid AS src, b.dst + greatest(a.mid, b.mid) - b.mid AS dst,
+  least(a.mid + a.size, b.mid + b.size) - greatest(a.mid, b.mid) AS size
+FROM a JOIN b ON a.user_id = b.user_id AND a.mid < b.mid + b.size AND b.mid < a.mid + a.size
+""")
+def extent_compose(t: Tables) -> DataFrame:
+    e = _ext(t)
+    a = e.where("event_id % 2 = 0").select("user_id", (F.col("event_id") * 1000).alias("src"), F.col("off").alias("mid"), "size")
+    b = e.where("event_id % 2 = 1").select("user_id", F.col("off").alias("mid"), (F.col("event_id") * 7).alias("dst"), "size")
+    return extents.compose(a, b, ["user_id"], 1 << 16)
+
+
+@query(f"""
+WITH e AS ({_EXT})
+SELECT user_id, event_id, coalesce(off < max(off + size) OVER (PARTITION BY user_id ORDER BY off, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM e
+""")
+def overlap_marks(t: Tables) -> DataFrame:
+    return extents.overlapping(_ext(t), ["user_id"]).select("user_id", "event_id", "overlaps")
+
+
+@query(f"""
+WITH f AS (SELECT user_id, off, ceil(size / 4) * 4 AS size FROM ({_islands_sql(">")})), p AS (SELECT user_id, off + size // 2 + 3000 AS pos FROM ({_EXT}) WHERE event_id % 5 = 0),
+h AS (SELECT p.*, (SELECT max(off) FROM f WHERE f.user_id = p.user_id AND f.off <= p.pos) AS here, (SELECT min(off) FROM f WHERE f.user_id = p.user_id AND f.off > p.pos) AS after FROM p)
+SELECT h.user_id, pos, coalesce(pos < here + f.size, false) AS inside, CASE WHEN pos < here + f.size THEN here ELSE after END::VARCHAR AS file FROM h LEFT JOIN f ON f.user_id = h.user_id AND f.off = here
+""")
+def offset_lookup(t: Tables) -> DataFrame:
+    files = extents.islands(_ext(t), ["user_id"]).withColumn("file", F.col("off").cast("string"))
+    points = _ext(t).where("event_id % 5 = 0").select("user_id", (F.col("off") + F.expr("size div 2") + 3000).alias("at"))
+    return extents.covering(points, files, ["user_id"]).withColumnRenamed("at", "pos")
+
+
+@query("""
+WITH b AS (SELECT l_suppkey, l_orderkey // 40 AS block, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS idx FROM lineitem),
+d AS (SELECT *, lag(block) OVER (PARTITION BY l_suppkey ORDER BY idx) AS prev FROM b WHERE block <> 0)
+SELECT l_suppkey, sum(CASE WHEN prev IS NULL OR block <> prev + 1 THEN 1 ELSE 0 END)::BIGINT AS n_fragments, (sum(CASE WHEN prev IS NULL OR block <> prev + 1 THEN 1 ELSE 0 END) - 1)::BIGINT * 1024 // count(*) AS ratio FROM d GROUP BY ALL
+""")
+def fragments(t: Tables) -> DataFrame:
+    nth = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
+    blocks = t.lineitem.select("l_suppkey", F.expr("l_orderkey div 40").alias("block"), nth.alias("idx"))
+    sizes = blocks.where("block <> 0").groupBy("l_suppkey").agg(F.count("*").alias("k"))
+    out = extents.fragments(blocks, ["l_suppkey"]).join(sizes, "l_suppkey")
+    return out.select("l_suppkey", "n_fragments", F.expr("(n_fragments - 1) * 1024 div k").alias("ratio"))
+
+
+@query("""
+SELECT l_suppkey, sum(u)::BIGINT AS n_groups FROM (SELECT l_suppkey, l_orderkey // 8 AS g, max(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS u FROM lineitem GROUP BY ALL) GROUP BY ALL
+""")
+def used_blocks(t: Tables) -> DataFrame:
+    return extents.used_groups(t.lineitem.select("l_suppkey", F.col("l_orderkey").alias("sector"), (F.col("l_quantity") > 40).alias("used")), ["l_suppkey"], 8)
+
+
+@query("""
+SELECT p_type, g AS geometry, sum((p_size * 100000 + g - 1) // g)::BIGINT AS n_blocks, sum((p_size * 100000 + g - 1) // g * g)::BIGINT AS size FROM part, (VALUES (32768), (2097152), (8388608)) AS x(g) GROUP BY ALL
+""")
+def image_sizes(t: Tables) -> DataFrame:
+    rows = t.part.select("p_type", (F.col("p_size") * 100000).cast("long").alias("s"), F.explode(F.array(*map(F.lit, (32768, 2097152, 8388608)))).alias("geometry"))
+    blocks = F.expr("(s + geometry - 1) div geometry")
+    return rows.groupBy("p_type", "geometry").agg(F.sum(blocks).alias("n_blocks"), F.sum(blocks * F.col("geometry")).alias("size"))
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS free, count(*) - count(*) FILTER (o_orderstatus = 'F') AS used,
+  100 * (count(*) - count(*) FILTER (o_orderstatus = 'F')) // count(*) AS percent FROM orders GROUP BY ALL
+""")
+def space_report(t: Tables) -> DataFrame:
+    out = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("free"))
+    return out.withColumn("used", F.col("total") - F.col("free")).withColumn("percent", F.expr("100 * used div total"))
+
+
+@query("SELECT l_suppkey, bit_or(l_orderkey * 64) & -bit_or(l_orderkey * 64) AS aligned FROM lineitem WHERE l_orderkey > 0 GROUP BY ALL")
+def alignment(t: Tables) -> DataFrame:
+    return t.lineitem.where("l_orderkey > 0").groupBy("l_suppkey").agg(extents.alignment(F.col("l_orderkey") * 64).alias("aligned"))
+
+
+@query("SELECT l_partkey, least(count(*), 255) AS n_refs FROM lineitem GROUP BY ALL")
+def block_multiplicity(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy("l_partkey").agg(F.least(F.count("*"), F.lit(255)).alias("n_refs"))
+
+
+@query("""
+SELECT host, count(*) AS n, count(*) FILTER (url LIKE '%/') AS n_dirs, max(length(url))::BIGINT AS longest FROM (SELECT url, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages) GROUP BY ALL
+""")
+def tree_statistics(t: Tables) -> DataFrame:
+    host = F.regexp_extract("url", "://([^/]*)", 1).alias("host")
+    return t.pages.groupBy(host).agg(F.count("*").alias("n"), F.count_if(F.col("url").endswith("/")).alias("n_dirs"), F.max(F.length("url")).cast("long").alias("longest"))
+
+
+@query("""
+SELECT user_id, bit_or(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 4 ELSE 8 END)::INTEGER AS status FROM events GROUP BY ALL
+""")
+def status_bits(t: Tables) -> DataFrame:
+    kind = F.col("event_type")
+    bit = F.when(kind == "click", 1).when(kind == "view", 2).when(kind == "error", 4).otherwise(8)
+    return t.events.groupBy("user_id").agg(F.bit_or(bit).alias("status"))
+
+
+@query(f"""
+WITH e AS ({_EXT}), x AS (SELECT user_id, event_id, unnest(range(off // 3600, (off + size - 1) // 3600 + 1)) AS sector FROM e)
+SELECT user_id, sector, max(event_id) AS marker FROM x GROUP BY ALL
+""")
+def usage_table(t: Tables) -> DataFrame:
+    return extents.paint(_ext(t).withColumn("marker", F.col("event_id")).withColumn("ord", F.col("event_id")), ["user_id"], 3600)
+
+
+@query("""
+SELECT g AS old_group, row_number() OVER (ORDER BY g) - 1 AS new_group FROM (SELECT DISTINCT l_orderkey // 8 AS g FROM lineitem WHERE l_orderkey % 500 = 0)
+""")
+def pack_used(t: Tables) -> DataFrame:
+    groups = t.lineitem.where("l_quantity > 49").select(F.expr("l_orderkey div 8").alias("old_group")).distinct()
+    return groups.withColumn("new_group", (F.row_number().over(W.orderBy("old_group")) - 1).cast("long"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, o_orderkey AS sector, o_orderstatus = 'F' AS used FROM orders),
+d AS (SELECT *, sector_turn FROM (SELECT *, CASE WHEN lag(used) OVER w IS NOT DISTINCT FROM used THEN 0 ELSE 1 END AS sector_turn FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY sector))),
+r AS (SELECT *, sum(sector_turn) OVER (PARTITION BY o_custkey ORDER BY sector) AS r FROM d)
+SELECT o_custkey, min(sector) AS first, count(*) AS length, bool_and(used) AS used FROM r GROUP BY o_custkey, r
+""")
+def usage_runs(t: Tables) -> DataFrame:
+    return extents.runs(t.orders.select("o_custkey", F.col("o_orderkey").alias("sector"), (F.col("o_orderstatus") == "F").alias("used")), ["o_custkey"])
+
+
+@query("""
+SELECT p_type, p_partkey, coalesce(sum((p_size * 1000 + 4095) // 4096 * 4096) OVER (PARTITION BY p_type ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM part
+""")
+def running_layout(t: Tables) -> DataFrame:
+    return extents.layout(t.part.withColumn("size", F.col("p_size") * 1000), ["p_type"], ["p_partkey"], 4096).select("p_type", "p_partkey", "off")
+
+
+@query("""
+WITH u AS (SELECT DISTINCT p_type, p_size - 1 AS slot FROM part WHERE p_size % 3 <> 0), r AS (SELECT * FROM (SELECT DISTINCT p_type FROM u), range(0, 200) x(slot)),
+f AS (SELECT r.*, row_number() OVER (PARTITION BY p_type ORDER BY slot) AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.p_type = r.p_type AND u.slot = r.slot))
+SELECT p_type, slot::INTEGER AS slot FROM f WHERE n <= 5
+""")
+def free_slots(t: Tables) -> DataFrame:
+    return extents.free_slots(t.part.where("p_size % 3 <> 0").select("p_type", (F.col("p_size") - 1).alias("slot")), ["p_type"], "slot", 5)
+
+
+# --- integrity
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, md5(o_orderstatus) AS h FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT o_orderkey, md5(CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END) AS h FROM orders WHERE o_orderkey % 9 <> 0)
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.h IS NULL THEN 'only_left' WHEN a.h IS NULL THEN 'only_right' WHEN a.h = b.h THEN 'equal' ELSE 'differ' END AS status
+FROM a FULL OUTER JOIN b ON a.o_orderkey = b.o_orderkey
+""")
+def tree_diff(t: Tables) -> DataFrame:
+    side = lambda n, value: t.orders.where(f"o_orderkey % {n} <> 0").select("o_orderkey", F.md5(value.cast("binary")).alias("h"))
+    changed = F.when(F.col("o_orderkey") % 13 == 0, "X").otherwise(F.col("o_orderstatus"))
+    return integrity.diff(side(10, F.col("o_orderstatus")), side(9, changed), ["o_orderkey"], "h")
+
+
+@query("""
+WITH d AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_discount > 0.05),
+r AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS n_all, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS n FROM d)
+SELECT l_suppkey, l_orderkey, l_linenumber, n_all FROM r WHERE n <= 3
+""")
+def message_limit(t: Tables) -> DataFrame:
+    rows = t.lineitem.where("l_discount > 0.05").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return integrity.first_messages(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 3).select("l_suppkey", "l_orderkey", "l_linenumber", "n_all")
+
+
+_REFS = "SELECT l_suppkey AS slot, l_linenumber AS idx, CASE WHEN l_quantity < 2 THEN 0 ELSE l_partkey END AS block FROM lineitem WHERE l_orderkey % 100 = 0"
+_FBT = "SELECT p_partkey AS block, p_size > 25 AS is_free FROM part"
+
+
+def _container(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    refs = t.lineitem.where("l_orderkey % 100 = 0").select(F.col("l_suppkey").alias("slot"), F.col("l_linenumber").alias("idx"), F.when(F.col("l_quantity") < 2, 0).otherwise(F.col("l_partkey")).alias("block"))
+    return t.supplier.select(F.col("s_suppkey").alias("slot")), refs, t.part.select(F.col("p_partkey").alias("block"), (F.col("p_size") > 25).alias("is_free"))
+
+
+@query(f"""
+WITH r AS (SELECT * FROM ({_REFS}) WHERE block <> 0), g AS (SELECT * FROM r WHERE block < 1900), f AS ({_FBT})
+SELECT 'invalid' AS kind, slot, block FROM r WHERE block >= 1900 UNION ALL SELECT 'marked_free', slot, block FROM g WHERE block IN (SELECT block FROM f WHERE is_free)
+UNION ALL SELECT 'multi_use', NULL, block FROM g GROUP BY block HAVING count(*) > 1 UNION ALL SELECT 'no_blocks', s_suppkey, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT slot FROM r)
+UNION ALL SELECT 'lost', NULL, block FROM f WHERE NOT is_free AND block NOT IN (SELECT block FROM g)
+""")
+def container_check(t: Tables) -> DataFrame:
+    return integrity.check_container(*_container(t), 1900)
+
+
+@query(f"SELECT b AS block, b NOT IN (SELECT block FROM ({_REFS})) AS is_free FROM range(1, 1900) x(b)")
+def container_repair(t: Tables) -> DataFrame:
+    return integrity.repaired_table(_container(t)[1], 1900)
+
+
+@query(f"""
+WITH r AS ({_REFS}), d AS (SELECT s_suppkey AS slot FROM supplier WHERE s_suppkey % 4 = 0)
+SELECT slot FROM d WHERE slot NOT IN (SELECT slot FROM r WHERE slot IN (SELECT slot FROM d) AND block IN (SELECT block FROM r WHERE slot NOT IN (SELECT slot FROM d)))
+""")
+def container_recover(t: Tables) -> DataFrame:
+    slots, refs, _ = _container(t)
+    return integrity.recoverable(slots.where("slot % 4 = 0"), refs)
+
+
+@query("""
+WITH l0 AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, sha256(text) AS hash FROM documents),
+l1 AS (SELECT lang, idx // 31 AS idx, sha256(string_agg(hash, '' ORDER BY idx)) AS hash FROM l0 GROUP BY lang, idx // 31),
+l2 AS (SELECT lang, idx // 8 AS idx, sha256(string_agg(hash, '' ORDER BY idx)) AS hash FROM l1 GROUP BY lang, idx // 8),
+l3 AS (SELECT lang, idx // 8 AS idx, sha256(string_agg(hash, '' ORDER BY idx)) AS hash FROM l2 GROUP BY lang, idx // 8)
+SELECT lang, 0 AS level, idx, hash FROM l0 UNION ALL SELECT lang, 1, idx, hash FROM l1 UNION ALL SELECT lang, 2, idx, hash FROM l2 UNION ALL SELECT lang, 3, idx, hash FROM l3
+""")
+def hash_tree(t: Tables) -> DataFrame:
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1
+    blocks = t.documents.select("lang", nth.alias("idx"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return integrity.hash_tree(blocks, ["lang"], [31, 8, 8])
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'NO-HASH' WHEN doc_id % 10 = 2 THEN 'INVALID' WHEN doc_id % 10 = 3 THEN 'ERR' ELSE 'OK' END AS status FROM documents
+""")
+def verify_status(t: Tables) -> DataFrame:
+    k, own = F.col("doc_id") % 10, F.sha2(F.col("text").cast("binary"), 256)
+    stored = t.documents.select("doc_id", F.when(k != 1, F.when(k == 3, F.lit("0")).otherwise(own)).alias("hash"))
+    return integrity.verify(stored, t.documents.where("doc_id % 10 <> 2").select("doc_id", own.alias("hash")), ["doc_id"])
+
+
+@query("""
+SELECT p_partkey, coalesce(p.data, p_name) AS data, p.data IS NOT NULL AS patched FROM part
+LEFT JOIN (SELECT l_partkey, arg_max(l_orderkey::VARCHAR, l_orderkey) AS data FROM lineitem WHERE l_quantity > 48 GROUP BY 1) p ON l_partkey = p_partkey
+""")
+def patch_overlay(t: Tables) -> DataFrame:
+    patches = t.lineitem.where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("ord"), F.col("l_orderkey").cast("string").alias("data"))
+    return integrity.apply_patches(t.part.select("p_partkey", F.col("p_name").alias("data")), patches, ["p_partkey"])
+
+
+# --- scalars
+
+
+@query("""
+SELECT p_partkey, (p_size * 1000 + 512)::BIGINT AS a, p_size * 1048576::BIGINT + p_partkey AS b, (p_size * 32768)::BIGINT AS c FROM part
+""")
+def parse_sizes(t: Tables) -> DataFrame:
+    text = lambda *x: F.concat(*[F.col(y).cast("string") if y.startswith("p_") else F.lit(y) for y in x])
+    return t.part.select("p_partkey", S.parse_size(text("p_size", "k+512")).alias("a"), S.parse_size(text("p_size", "+", "p_partkey"), S.MIB).alias("b"), S.parse_size(text("p_size", "/2", "s", "+", "p_size", "/2s")).alias("c"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, p_size::BIGINT * p_size * p_partkey * 1000 AS size FROM part)
+SELECT p_partkey, CASE WHEN size <= 9999 THEN size || ' B' WHEN (size + 512) // 1024 <= 9999 THEN (size + 512) // 1024 || ' KiB'
+  WHEN (size + 524288) // 1048576 <= 9999 THEN (size + 524288) // 1048576 || ' MiB' ELSE (size + 536870912) // 1073741824 || ' GiB' END AS text FROM s
+""")
+def print_sizes(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", S.print_size(F.col("p_size").cast("long") * F.col("p_size") * F.col("p_partkey") * 1000).alias("text"))
+
+
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS minute,
+  CASE WHEN o_orderkey % 5 = 0 THEN '---------- --:--:--' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS second, o_orderdate = o_orderdate AS same FROM orders
+""")
+def print_times(t: Tables) -> DataFrame:
+    time = F.col("o_orderdate").cast("timestamp")
+    same = (S.parse_time(S.print_time(time)) == time) & (S.parse_time(F.date_format(time, "yyyyMMdd")) == time) & (S.parse_time(F.unix_timestamp(time).cast("string")) == time)
+    return t.orders.select("o_orderkey", S.print_time(time, "date").alias("day"), S.print_time(time, "minute").alias("minute"), S.print_time(F.when(F.col("o_orderkey") % 5 != 0, time)).alias("second"), same.alias("same"))
+
+
+@query("""
+SELECT p_partkey, upper(substr(p_name, 1, 3)) || ' [' || p_type || '] ' || lower(p_brand) || ' 100%' AS name FROM part
+""")
+def name_template(t: Tables) -> DataFrame:
+    fields = {"n": F.col("p_name"), "i": F.col("p_type"), "b": F.col("p_brand")}
+    return t.part.select("p_partkey", S.fill_template("%1-3un [%i] %lb 100%%", fields).alias("name"))
+
+
+@query("""
+SELECT p_partkey, p_name || ' - ' || p_type AS cleaned, upper(substr(p_type, 1, 4)) AS found, upper(substr(p_type, 1, 1)) || 'X' || upper(substr(p_type, 3, 1)) || 'Y' || substr(upper(p_type), 5) AS patched FROM part
+""")
+def names_and_ids(t: Tables) -> DataFrame:
+    ident = F.upper("p_type")
+    return t.part.select(
+        "p_partkey", S.clean_name(F.concat_ws("", F.col("p_name"), F.lit(": "), F.lit('*"'), F.col("p_type"), F.lit("?"))).alias("cleaned"),
+        S.find_id(F.concat(F.col("p_name"), F.lit(" ["), F.substring(ident, 1, 4), F.lit("]"))).alias("found"), S.patch_id(ident, ".x.y").alias("patched"),
+    )
+
+
+@query("""
+SELECT p_partkey, CASE upper(substr(p_type, 4, 1)) WHEN 'D' THEN 'German' WHEN 'E' THEN 'USA' WHEN 'F' THEN 'French' WHEN 'I' THEN 'Italian' WHEN 'J' THEN 'Japan' WHEN 'K' THEN 'Korea' WHEN 'P' THEN 'Europe' WHEN 'S' THEN 'Spanish' ELSE '-?-' END AS region,
+  (p_partkey + 63) // 64 * 64 AS aligned, bit_count(p_partkey)::INTEGER AS bits, p_partkey & -p_partkey AS low, (p_partkey >> 3) || ':' || ((p_partkey << 29) & 4294967295) AS version FROM part
+""")
+def regions_and_bits(t: Tables) -> DataFrame:
+    key = F.col("p_partkey")
+    return t.part.select("p_partkey", S.region(F.col("p_type")).alias("region"), S.align_up(key, 64).alias("aligned"), F.bit_count(key).alias("bits"), S.low_bit(key).alias("low"), S.version_pair(F.shiftleft(key, 29)).alias("version"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN length(p_type) <= 6 THEN upper(p_type) ELSE substr(p_type, 1, 4) END AS id, ascii(substr(p_type, 1, 1)) * 256 + ascii(substr(p_type, 2, 1))::BIGINT AS number,
+  concat_ws('|', CASE WHEN p_size & 1 <> 0 THEN 'odd' END, CASE WHEN p_size & 2 <> 0 THEN 'two' END, CASE WHEN p_size & 4 <> 0 THEN 'four' END) AS status FROM part
+""")
+def hex_ids(t: Tables) -> DataFrame:
+    spelled = F.when(F.length("p_type") <= 6, F.col("p_type")).otherwise(F.concat(F.lit("00010000"), F.hex(F.substring("p_type", 1, 4).cast("binary"))))
+    return t.part.select("p_partkey", S.hex_id(spelled).alias("id"), S.big_endian(F.col("p_type").cast("binary"), 0, 2).alias("number"), S.status_text(F.col("p_size"), ["odd", "two", "four"]).alias("status"))
