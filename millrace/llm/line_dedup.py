@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import saved, side
+from .store import let, saved, side
 
 #: Shorter lines stay as they are: headings, list marks and single words repeat by nature.
 MIN_WORDS = 4
@@ -81,6 +81,26 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return near & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
+def _spellings(words: Column) -> Column:
+    """own: hash of an array of words; rests: its hash without each of them in turn.
+
+    A hash is the exclusive or of the words' hashes at their places; leaving out a word
+    moves those after it one place down.
+    """
+    places = F.transform(words, lambda w, i: F.struct(F.xxhash64(w, i).alias("a"), F.xxhash64(w, i - 1).alias("b")))
+    long = lambda x: x.cast("long")
+
+    def step(s: Column, x: Column) -> Column:
+        down = s["down"].bitwiseXOR(x["b"])
+        return F.struct(s["own"].bitwiseXOR(x["a"]).alias("own"), down.alias("down"), F.concat(s["rests"], F.array(s["own"].bitwiseXOR(down))).alias("rests"))
+
+    def walk(places: Column) -> Column:
+        start = F.struct(long(F.lit(0)).alias("own"), F.aggregate(places, long(F.lit(0)), lambda h, x: h.bitwiseXOR(x["b"])).alias("down"), F.array().cast("array<bigint>").alias("rests"))
+        return F.aggregate(places, start, step)
+
+    return let(places, walk)
+
+
 def near_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
     """at of those distinct lines (first: at, halves of each) that have a near line before them."""
     keyed = first.where("halves is not null").select("at", F.explode("halves").alias("half"))
@@ -89,8 +109,7 @@ def near_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
     lines = _lines_at(docs, live).repartitionByRange("at").sortWithinPartitions("at")
     lines = saved(lines.withColumn("id", F.monotonically_increasing_id()), "live-words")  # ids in order of at
     n = F.size("words")
-    rest = lambda i: F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n)))
-    rests = lines.select("id", n.alias("n"), F.explode(F.array(F.transform(F.sequence(F.lit(1), n), rest))).alias("rests"), F.xxhash64("words").alias("own"))
+    rests = lines.select("id", n.alias("n"), F.explode(F.array(_spellings(F.col("words")))).alias("s")).select("id", "n", "s.own", "s.rests")
     kind = lambda k, key: F.struct(F.lit(k).alias("kind"), key.alias("key"))
     variants = F.concat(
         F.array(kind("self", F.col("own"))),
@@ -135,13 +154,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int
     gone = saved(removed_lines(docs, min_words, near_min_words), "removed-lines")
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("removed").alias("_r"))
     text = F.coalesce("text", F.lit(""))
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_r"))
-    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_r"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     joined = docs.drop("lines_total", "lines_removed").join(side(gone, 100), (F.xxhash64(text) == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     return (
-        joined.withColumn("lines_total", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(rest))
+        joined.withColumn("lines_total", F.when(F.col("text").isNull(), 0).otherwise(n_lines))
+        .withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest)))
         .withColumn("lines_removed", F.coalesce("_r", F.array().cast("array<int>")))
         .drop("_d", "_t", "_r")
     )

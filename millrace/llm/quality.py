@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import let
+
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 #: Rules by bit: name and failing condition over the ledger's measurements.
@@ -34,11 +36,6 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << i for i, (name, _) in enumerate(RULES) if name in rules)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words that lie in windows found at least twice in an array of words.
 
@@ -51,7 +48,7 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
 
     def covered(h: Column) -> Column:
         marked = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        twice = _let(
+        twice = let(
             marked,
             lambda m: F.array_sort(
                 F.transform(
@@ -71,7 +68,7 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
             lambda a: a["n"],
         )
 
-    found = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
+    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
     return F.when(F.size(words) > window, found).otherwise(F.lit(0).cast("long"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join above this size isn't broadcast.
@@ -58,3 +58,8 @@ def delete(df: DataFrame) -> None:
 def side(df: DataFrame, row_bytes: int) -> DataFrame:
     """df, a saved table, broadcast if its rows are small enough together; else Spark shuffles it."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_MB * 1e6 else df
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for a row; body's lambdas would compute it for each element."""
+    return F.transform(F.array(value), body)[0]
