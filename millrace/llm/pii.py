@@ -29,8 +29,8 @@ TRAINING_LINES, TRAINING_SEED = 900, 7
 BATCH_LINES = 2048
 
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -56,8 +56,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "@" in text:
         for run in _EMAIL_RUN.finditer(text):  # an address lies within such a run
-            if "@" in run[0]:
-                out += [(run.start() + m.start(), 0, run.start() + m.end()) for m in _EMAIL.finditer(run[0])]
+            start, at = run.start(), text.find("@", run.start(), run.end())
+            while at >= 0:  # all that precedes it, back to the last @ or address, is the local part
+                found = _DOMAIN.match(text, at + 1, run.end()) if at > start else None
+                if found:
+                    out.append((start, 0, found.end()))
+                start = found.end() if found else at + 1
+                at = text.find("@", start, run.end())
     if _DIGIT.search(text):
         for run in _DOTTED.finditer(text):  # four parts at a time, as the pattern takes them
             at, parts = run.start(), run[0].split(".")
