@@ -88,16 +88,17 @@ def ledger(docs: DataFrame, *more: str) -> DataFrame:
         F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("lines"),
     )
     long = lambda c: c.cast("long")
-    measured = rows.select(
-        *more,
-        "doc_id",
-        long(F.size("words")).alias("n_words"),
-        long(F.length(F.array_join("words", ""))).alias("word_chars"),
-        long(F.regexp_count("text", F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
-        long(F.size("lines")).alias("n_lines"),
-        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        repeat_words(F.col("words")).alias("n_repeat_words"),
+    measures = (
+        long(F.size("words")),
+        long(F.length(F.array_join("words", ""))),
+        long(F.regexp_count("text", F.lit(r"[#*$%&|<>]"))),
+        long(F.size("lines")),
+        long(F.size("lines") - F.size(F.array_distinct("lines"))),
+        repeat_words(F.col("words")),
     )
+    # As a row of their own, so that a filter on them doesn't bring them in again.
+    row = F.struct(*[m.alias(name) for name, m in zip(MEASURES, measures)])
+    measured = rows.select(*more, "doc_id", F.explode(F.array(row)).alias("measured_row")).select(*more, "doc_id", "measured_row.*")
     bits = [F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, condition) in enumerate(RULES)]
     failed = bits[0]
     for bit in bits[1:]:
