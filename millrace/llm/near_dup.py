@@ -9,7 +9,10 @@ likelihood, and confirmed on the full shingle sets.
 A bucket is settled once its members are of one component. Each round compares a
 bucket's representatives with its members of other components only, and
 takes more representatives where members remain apart; a representative has met
-all members, so it leaves the bucket. Pairs within a component are never made.
+all members, so it leaves the bucket. Pairs within a component are never made, nor
+pairs that can't be near: two sets share at most what of each occurs in another set
+at all, and differ in an element at least for each bit that differs in the bitmaps that
+their shingles are hashed to.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import delete, saved
+from .store import delete, saved, side
 
 SHINGLE_WORDS = 5
 #: Links: PERCENT * union <= 100 * intersection.
@@ -34,10 +37,11 @@ REGISTERS, ROWS = 128, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: Estimates this far (5 standard errors) below the threshold are not confirmed.
 MARGIN = 0.2
+#: Bits of the bitmaps.
+BITS = 1024
 #: Representatives of a bucket grow by this factor each round.
-GROWTH = 4
+GROWTH = 8
 BATCH_TEXTS, BATCH_SHINGLES = 2048, 1 << 20
-BROADCAST_MB = 32
 
 _U = np.uint64
 
@@ -145,7 +149,13 @@ def _shingled(batches, size: int):
         sets = [shingles(x or "", size) for x in batch.column("text").to_pylist()]
         ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"])
+        bits = np.zeros((len(sets), BITS), np.uint8)
+        for row, x in zip(bits, sets):
+            row[x % _U(BITS)] = 1
+        words = np.packbits(bits, axis=1).view(np.int64).ravel()
+        each = np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)
+        lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(v)) for e, v in ((ends, flat), (each, words))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "shingles", "bits"])
 
 
 def _estimated(batches, least: float):
@@ -156,16 +166,34 @@ def _estimated(batches, least: float):
             yield batch.select(["a", "b"]).filter(pa.array(j >= least))
 
 
-def _side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, a saved table, broadcast if its rows are small enough together; else Spark shuffles it."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_MB * 1e6 else df
-
-
 def _own(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def _bounded(full: DataFrame) -> DataFrame:
+    """id, n, c, bits: sizes of the full sets, how many of their shingles another of them holds, and their bitmaps."""
+    once = full.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+    own = once.where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
+    return full.select("id", F.size("shingles").alias("n"), "bits").join(own, "id", "left").select("id", "n", "bits", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+
+
+def _possible(c: Column, n: Column, m: Column, percent: int) -> Column:
+    """Sets of n and m shingles with c in common at most may be near."""
+    return 100 * c >= percent * (n + m - c)
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """Bits that differ in two bitmaps."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+
+
+def _open(members: DataFrame, percent: int) -> DataFrame:
+    """Members(key, id, n, c, bits) that may be near another one of their bucket."""
+    least = members.groupBy("key").agg(F.min("n").alias("lo"), F.count("*").alias("k")).where("k > 1")
+    return members.join(least, "key").where(_possible(F.col("c"), F.col("n"), F.greatest("lo", "c"), percent)).select("key", "id", "n", "c", "bits")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those pairs(a, b) whose registers, then full sets, are near enough."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("regs").alias(f"{x}_regs"))
@@ -194,11 +222,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = sets.select("id", F.explode(bands).alias("key"))
     shared = saved(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-keys")
-    active = saved(banded.join(_side(shared, 8), "key", "left_semi"), "near-members")
+    active = saved(banded.join(side(shared, 8), "key", "left_semi"), "near-members")
     delete(shared)
     wanted = saved(active.select("id").distinct().join(sets.select("id", "of.doc_id", "of.th"), "id"), "near-wanted")
-    texts = _own(docs).join(_side(wanted.withColumnsRenamed({"doc_id": "d", "th": "t"}), 24), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    full = saved(texts.select("id", "text").mapInArrow(partial(_shingled, size=size), "id long, shingles array<long>").dropDuplicates(["id"]), "near-full")
+    texts = _own(docs).join(side(wanted.withColumnsRenamed({"doc_id": "d", "th": "t"}), 24), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    full = saved(texts.select("id", "text").mapInArrow(partial(_shingled, size=size), "id long, shingles array<long>, bits array<long>").dropDuplicates(["id"]), "near-full")
+
+    bounds = saved(_bounded(full), "near-bounds")
+    active = saved(_open(active.join(side(bounds, 160), "id"), percent), "near-members")
 
     # To begin with, each set meets the least representative of all its buckets.
     least = active.groupBy("key").agg(F.min("id").alias("r"))
@@ -216,14 +247,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         # Half of the representatives come from outside the first member's component, the rest from anywhere.
         apart = W.partitionBy("key").orderBy(F.col("comp") == F.col("main"), "id")
         anywhere = W.partitionBy("key").orderBy(F.xxhash64("id", F.lit(reps)), "id")
-        first = lambda w: labelled.withColumn("at", F.row_number().over(w)).where(F.col("at") <= reps).select("key", "id", "comp")
+        first = lambda w: labelled.withColumn("at", F.row_number().over(w)).where(F.col("at") <= reps).select("key", "id", "comp", "n", "c", "bits")
         chosen = saved(first(apart).unionByName(first(anywhere)).distinct(), "near-reps")
-        met = chosen.select("key", F.col("id").alias("r"), F.col("comp").alias("r_comp")).join(labelled, "key").where("comp <> r_comp")
-        pairs = met.select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b")).distinct()
+        met = chosen.select("key", *[F.col(x).alias(f"r_{x}") for x in ("id", "comp", "n", "c", "bits")]).join(labelled, "key")
+        alike = F.floor((F.col("n") + F.col("r_n") - _differ(F.col("bits"), F.col("r_bits"))) / 2).cast("int")
+        common = F.least("c", "r_c", alike)
+        met = met.where((F.col("comp") != F.col("r_comp")) & _possible(common, F.col("n"), F.col("r_n"), percent))
+        pairs = met.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct()
         new = saved(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         links = saved(links.unionByName(_confirm(new, sets, full, percent)), "near-links")
         tested = saved(tested.unionByName(new), "near-pairs")
-        active = saved(labelled.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id"), "near-members")
+        unmet = saved(labelled.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n", "c", "bits"), "near-unmet")
+        active = saved(_open(unmet, percent), "near-members")
         delete(labelled)
         reps *= GROWTH
 
