@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .known_licenses import LICENSES, SPELLINGS
 
-#: A line with a copyright mark and an owner or year; lower case.
-COPYRIGHT = r"^[^\p{L}\p{N}]*(portions )?(copyright|\(c\)|©)"
+#: A line that names a copyright's year or owner; lower case.
+COPYRIGHT = r"^[^\p{L}\p{N}(©]*(portions )?(copyright\s*(\(c\)|©|:|by\b|[0-9]{4})|(\(c\)|©)\s*(copyright|[0-9]{4}))"
 
 
 def _canonical_line(line: Column) -> Column:
