@@ -449,7 +449,7 @@ def usage_table(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT g AS old_group, row_number() OVER (ORDER BY g) - 1 AS new_group FROM (SELECT DISTINCT l_orderkey // 8 AS g FROM lineitem WHERE l_orderkey % 500 = 0)
+SELECT g AS old_group, row_number() OVER (ORDER BY g) - 1 AS new_group FROM (SELECT DISTINCT l_orderkey // 8 AS g FROM lineitem WHERE l_quantity > 49)
 """)
 def pack_used(t: Tables) -> DataFrame:
     groups = t.lineitem.where("l_quantity > 49").select(F.expr("l_orderkey div 8").alias("old_group")).distinct()
