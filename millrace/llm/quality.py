@@ -18,18 +18,19 @@ WINDOW = 8
 RULES = (
     ("few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    ("symbols", "n_symbols > n_words"),
+    ("symbols", "10 * n_symbols > n_words"),
     ("repeated_lines", "2 * n_dup_lines > n_lines"),
     ("long_words", "word_chars > 25 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
+    ("stutter", "10 * n_stutters > 3 * n_words"),
 )
 BASE_RULES = ("few_words", "repeated_windows")
 #: Versioned policies: the rules that reject.
 POLICIES = {
     "v1": BASE_RULES,
-    "v2": (*BASE_RULES, "symbols", "repeated_lines", "long_words", "short_words"),
+    "v2": (*BASE_RULES, "symbols", "repeated_lines", "long_words", "short_words", "stutter"),
 }
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters")
 
 
 def mask(rules: tuple[str, ...]) -> int:
@@ -76,7 +77,8 @@ def ledger(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, MEASURES, failed (bits of RULES that fail) for each row of docs(doc_id, text), and more columns of docs.
 
     Null and empty texts have no words. A line counts if it has a word; each copy
-    of an earlier line counts once in n_dup_lines. Repeated rows and null doc_ids
+    of an earlier line counts once in n_dup_lines, each copy of the word before it once
+    in n_stutters. Repeated rows and null doc_ids
     are measured like others; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
@@ -95,6 +97,7 @@ def ledger(docs: DataFrame, *more: str) -> DataFrame:
         long(F.size("lines")),
         long(F.size("lines") - F.size(F.array_distinct("lines"))),
         repeat_words(F.col("words")),
+        long(F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1)))),
     )
     # As a row of their own, so that a filter on them doesn't bring them in again.
     row = F.struct(*[m.alias(name) for name, m in zip(MEASURES, measures)])
@@ -164,12 +167,13 @@ WITH t AS (
 ), m AS (
   SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l) AS n_lines,
-    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    len([i FOR i IN range(2, len(w) + 1) IF w[i] = w[i - 1]]) AS n_stutters
   FROM t LEFT JOIN p USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols > n_words OR 2 * n_dup_lines > n_lines
-    OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
+    OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 10 * n_stutters > 3 * n_words) AS kept
 FROM m
 """

@@ -14,7 +14,8 @@ def brute(text):
     many = Counter(windows)
     covered = {i + k for i, w in enumerate(windows) if many[w] > 1 for k in range(8)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+    stutters = sum(a == b for a, b in zip(words, words[1:]))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), stutters
 
 
 REPEATS = [(1, "a b c d e f g h " * 5), (2, "x\n" * 30), (3, "q w e r t y u i o q w e r t y u i o p a s d f"), (4, "#$% " * 30), (5, "a\x0bb\x0cc\x1cd\u00a0e f")]
@@ -24,7 +25,7 @@ REPEATS = [(1, "a b c d e f g h " * 5), (2, "x\n" * 30), (3, "q w e r t y u i o
 def test_measures(spark, rows):
     rows = rows(spark) if callable(rows) else rows
     out = quality.ledger(frame(spark, rows)).collect()
-    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_stutters) for r in out), key=str)
     assert got == sorted(((d, *brute(t)) for d, t in rows), key=str)
 
 
