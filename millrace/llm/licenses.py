@@ -64,3 +64,25 @@ def scan(docs: DataFrame, licenses: dict[str, str] | None = None) -> DataFrame:
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _oracle() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]"
+    known_rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in LICENSES.items())
+    line = f"""CASE WHEN (contains(lower(x), 'copyright') OR contains(lower(x), '(c)') OR contains(lower(x), '©')) AND regexp_matches(lower(x), {quoted(COPYRIGHT)})
+      THEN '' ELSE trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) END"""
+    digest = f"sha256(array_to_string([coalesce({listed(SPELLINGS.values())}[list_position({listed(SPELLINGS)}, w)], w) FOR w IN string_split(u.words, ' ')], ' '))"
+    return f"""
+WITH k(license_id, text) AS (VALUES {known_rows}),
+kl AS (SELECT license_id, [{line} FOR x IN string_split(text, chr(10))] AS lines FROM k),
+ku AS (SELECT license_id, array_to_string([x FOR x IN lines IF x <> ''], ' ') AS words FROM kl),
+kd AS (SELECT license_id, {digest} AS digest FROM ku u),
+dl AS (SELECT doc_id, [{line} FOR x IN string_split(text, chr(10))] AS lines FROM documents WHERE text IS NOT NULL),
+du AS (SELECT doc_id, NULL::INTEGER AS line, array_to_string([x FOR x IN lines IF x <> ''], ' ') AS words FROM dl
+  UNION ALL SELECT doc_id, unnest(range(len(lines)))::INTEGER, unnest(lines) FROM dl),
+h AS (SELECT doc_id, line, license_id FROM (SELECT doc_id, line, {digest} AS digest FROM du u WHERE words <> '') JOIN kd USING (digest))
+SELECT doc_id, license_id, bool_or(line IS NULL) AS whole, count(line) AS n_lines, min(line) AS first_line FROM h GROUP BY ALL"""
+
+
+ORACLE_SQL = _oracle()
