@@ -175,5 +175,27 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lines_total").alias("n_lines"),
         F.size("lines_removed").alias("n_removed"),
         F.array_join(F.transform("lines_removed", lambda x: x.cast("string")), ",").alias("removed"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
     )
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM d),
+x AS (SELECT doc_id, pos, array_to_string(w, ' ') AS t, w, {'d': doc_id, 'p': pos} AS place
+  FROM (SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM o) WHERE len(w) >= 4),
+f AS (SELECT t, any_value(w) AS w, min(place) AS place FROM x GROUP BY t),
+v AS (SELECT t, place, len(w) AS n, i, array_to_string(w[1:i - 1], ' ') || ' | ' || array_to_string(w[i + 1:], ' ') AS around,
+    array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 8)),
+g AS (SELECT n, i, around, min(place) AS least FROM v GROUP BY ALL),
+near AS (
+  SELECT v.t FROM v JOIN g USING (n, i, around) WHERE least < place
+  UNION SELECT v.t FROM v JOIN f ON f.t = v.rest AND len(f.w) >= 8 WHERE f.place < v.place
+  UNION SELECT f.t FROM v JOIN f ON f.t = v.rest AND len(f.w) >= 8 WHERE v.place < f.place
+), gone AS (
+  SELECT x.doc_id, x.pos FROM x JOIN f USING (t) WHERE x.place > f.place OR t IN (SELECT t FROM near)
+), r AS (SELECT doc_id, list_sort(list(pos)) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(len(l), 0)::INTEGER AS n_lines, coalesce(len(removed), 0)::INTEGER AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed,
+  md5(coalesce(array_to_string([l[i + 1] FOR i IN range(len(l)) IF removed IS NULL OR NOT list_contains(removed, i)], chr(10)), '')) AS text_md5
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id)
+"""

@@ -19,7 +19,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_license_scan": licenses.ORACLE_SQL,
+    "op5_setsketch": near_dup.ORACLE_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
     "op3_url_cascade": urls.ORACLE_SQL,
     "op4_quality_ledger": quality.ORACLE_SQL,
 }
