@@ -121,3 +121,29 @@ def alignment(offsets: Column) -> Column:
     """Aggregate: the largest power of two that divides all offsets."""
     joined = F.bit_or(offsets)
     return joined.bitwiseAND(-joined)
+
+
+def in_section(areas: DataFrame, sections: DataFrame, by: Sequence[str], bucket: int) -> DataFrame:
+    """areas(by..., off, size) with section: the first of sections(by..., section, start, length) that holds all of the area.
+
+    The range join is an equi-join on buckets of the offset, which lies in its section.
+    """
+    key = [*by, "off", "size"]
+    spread = sections.select(*by, "section", "start", "length", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("start") + F.col("length")) / bucket))).alias("_b"))
+    met = areas.select(*key).distinct().withColumn("_b", F.floor(F.col("off") / bucket)).join(spread, [*by, "_b"])
+    held = met.where("off >= start and off + size <= start + length").groupBy(*key).agg(F.min("section").alias("section"))
+    return areas.join(held, key, "left")
+
+
+def segments(words: DataFrame, by: Sequence[str], hole: int) -> DataFrame:
+    """by, first, length of the runs of words(by..., idx, word) that aren't zero; holes shorter than hole stay inside a run."""
+    w = W.partitionBy(*by).orderBy("idx")
+    used = words.where("word <> 0")
+    apart = F.coalesce(F.col("idx") - F.lag("idx").over(w) > hole, F.lit(True)).cast("int")
+    numbered = used.withColumn("_n", apart).withColumn("_s", F.sum("_n").over(w))
+    return numbered.groupBy(*by, "_s").agg(F.min("idx").alias("first"), (F.max("idx") - F.min("idx") + 1).alias("length")).drop("_s")
+
+
+def phantoms(spark, n: int, seed: int, most: int) -> DataFrame:
+    """n made-up items: id, size from 1 to most; equal for equal seeds."""
+    return spark.range(n).select(F.format_string("PHT%03d", F.col("id")).alias("id"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(most)) + 1).alias("size"))

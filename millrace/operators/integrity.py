@@ -94,3 +94,14 @@ def apply_patches(blocks: DataFrame, patches: DataFrame, keys: Sequence[str]) ->
     """blocks(keys..., data) with the data of the last of patches(keys..., ord, data) that covers each."""
     last = patches.groupBy(*keys).agg(F.max_by("data", "ord").alias("_p"))
     return blocks.join(last, list(keys), "left").select(*keys, F.coalesce("_p", "data").alias("data"), F.col("_p").isNotNull().alias("patched"))
+
+
+def block_diff(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, n_blocks, n_differ, first_differ of two block tables(by..., sector, usage, hash) compared place by place.
+
+    Blocks differ if either is missing, or in usage class or hash.
+    """
+    side = lambda df, x: df.select(*by, "sector", F.struct("usage", "hash").alias(x))
+    both = side(left, "a").join(side(right, "b"), [*by, "sector"], "full_outer")
+    differ = ~F.coalesce(F.col("a") == F.col("b"), F.lit(False))
+    return both.groupBy(*by).agg(F.count("*").alias("n_blocks"), F.count_if(differ).alias("n_differ"), F.min(F.when(differ, F.col("sector"))).alias("first_differ"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import binary as B
 from ..functions import patterns as P
 from ..functions import scalars as S
 from ..operators import catalog, extents, integrity, merge
@@ -635,3 +636,62 @@ SELECT p_partkey, CASE WHEN length(p_type) <= 6 THEN upper(p_type) ELSE substr(p
 def hex_ids(t: Tables) -> DataFrame:
     spelled = F.when(F.length("p_type") <= 6, F.col("p_type")).otherwise(F.concat(F.lit("00010000"), F.hex(F.substring("p_type", 1, 4).cast("binary"))))
     return t.part.select("p_partkey", S.hex_id(spelled).alias("id"), S.big_endian(F.col("p_type").cast("binary"), 0, 2).alias("number"), S.status_text(F.col("p_size"), ["odd", "two", "four"]).alias("status"))
+
+
+@query("""
+WITH a AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS sector, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 50 = 0),
+l AS (SELECT l_suppkey, sector, min(l_partkey) % 3 AS usage, sha256(min(l_quantity)::INTEGER::VARCHAR) AS hash FROM a WHERE sector % 17 <> 0 GROUP BY l_suppkey, sector),
+q AS (SELECT l_suppkey, sector, min(l_partkey) % 3 AS usage, min(l_quantity)::INTEGER AS v FROM a WHERE sector % 23 <> 0 GROUP BY l_suppkey, sector),
+r AS (SELECT l_suppkey, sector, usage, sha256((v + CASE WHEN sector % 19 = 0 THEN 1 ELSE 0 END)::VARCHAR) AS hash FROM q),
+j AS (SELECT coalesce(l.l_suppkey, r.l_suppkey) AS l_suppkey, coalesce(l.sector, r.sector) AS sector, NOT coalesce(l.usage = r.usage AND l.hash = r.hash, false) AS d FROM l FULL OUTER JOIN r ON l.l_suppkey = r.l_suppkey AND l.sector = r.sector)
+SELECT l_suppkey, count(*) AS n_blocks, count(*) FILTER (d) AS n_differ, min(sector) FILTER (d) AS first_differ FROM j GROUP BY ALL
+""")
+def block_diff(t: Tables) -> DataFrame:
+    rows = t.lineitem.where("l_orderkey % 50 = 0").withColumn("sector", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+
+    def side(n: int, step: int) -> DataFrame:
+        value = F.min("l_quantity").cast("int") + (F.when(F.col("sector") % 19 == 0, 1).otherwise(0) if step else F.lit(0))
+        return rows.where(f"sector % {n} <> 0").groupBy("l_suppkey", "sector").agg((F.min("l_partkey") % 3).alias("usage"), F.sha2(value.cast("string").cast("binary"), 256).alias("hash"))
+
+    return integrity.block_diff(side(17, 0), side(23, 1), ["l_suppkey"])
+
+
+@query(f"""
+WITH e AS ({_EXT}), s AS (SELECT user_id, event_id AS section, off - 3000 AS start, size * 3 AS length FROM e WHERE event_id % 4 = 0)
+SELECT e.user_id, e.event_id, (SELECT min(section) FROM s WHERE s.user_id = e.user_id AND e.off >= s.start AND e.off + e.size <= s.start + s.length) AS section FROM e
+""")
+def section_lookup(t: Tables) -> DataFrame:
+    e = _ext(t)
+    sections = e.where("event_id % 4 = 0").select("user_id", F.col("event_id").alias("section"), (F.col("off") - 3000).alias("start"), (F.col("size") * 3).alias("length"))
+    return extents.in_section(e, sections, ["user_id"], 1 << 16).select("user_id", "event_id", "section")
+
+
+@query("""
+WITH w AS (SELECT o_custkey, o_orderkey AS idx, o_orderkey % 5 AS word FROM orders), u AS (SELECT *, idx - lag(idx) OVER (PARTITION BY o_custkey ORDER BY idx) > 1500 AS gap FROM w WHERE word <> 0),
+n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY idx) AS s FROM u)
+SELECT o_custkey, min(idx) AS first, max(idx) - min(idx) + 1 AS length FROM n GROUP BY o_custkey, s
+""")
+def hole_segments(t: Tables) -> DataFrame:
+    words = t.orders.select("o_custkey", F.col("o_orderkey").alias("idx"), (F.col("o_orderkey") % 5).alias("word"))
+    return extents.segments(words, ["o_custkey"], 1500)
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN NULL ELSE CASE p_size % 4 WHEN 1 THEN 'lzma' WHEN 2 THEN 'bzip2' ELSE 'none' END || CASE WHEN p_size % 3 = 0 THEN '.' || p_size % 10 ELSE '' END || CASE WHEN p_size % 5 = 0 THEN '@' || p_size ELSE '' END END AS name,
+  CASE WHEN p_size % 2 = 0 THEN '-' ELSE '' || p_size & 31 END || ',' || (p_size & 31) || CASE WHEN p_size % 3 = 0 THEN '?' ELSE '' END AS ages FROM part
+""")
+def compression_names(t: Tables) -> DataFrame:
+    size = F.col("p_size")
+    method = F.when(size % 4 == 1, "LZMA").when(size % 4 == 2, "BZip2").when(size % 4 == 3, "none").otherwise("rar")
+    text = F.concat(method, F.when(size % 3 == 0, F.concat(F.lit("."), (size % 10).cast("string"))).otherwise(""), F.when(size % 5 == 0, F.concat(F.lit("@"), size.cast("string"))).otherwise(""))
+    bits = F.array(size.bitwiseAND(F.lit(31)) + F.when(size % 2 == 0, 128).otherwise(0), size.bitwiseAND(F.lit(31)) + F.when(size % 3 == 0, 64).otherwise(0))
+    return t.part.select("p_partkey", B.print_compression(B.compression(text)).alias("name"), B.ratings(bits).alias("ages"))
+
+
+def _block_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    documents = Tables(spark, folder).documents
+    return documents.select("doc_id", B.adler32(F.col("text").cast("binary")).alias("adler32"), B.base_letters("text").alias("base_text"))
+
+
+#: Without SQL: DuckDB has neither function. tests/test_sources.py compares them with the standard library.
+QUERIES["block_checksums"] = _block_checksums

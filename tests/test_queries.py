@@ -19,7 +19,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", list(registry.ORACLES))
 def test_query(spark, db, name, tmp_path):
     out = str(tmp_path / "out")
     registry.QUERIES[name](spark, SF).write.parquet(out)

@@ -1,6 +1,10 @@
+import zlib
+
 from pyspark.sql import functions as F
 
+from millrace.functions import binary as B
 from millrace.functions import scalars as S
+from millrace.operators import extents
 from millrace.sources import files, text
 
 
@@ -45,3 +49,15 @@ def test_sizes_and_times(spark):
     assert one(S.print_size(F.lit(10000).cast("long"))) == "10 KiB" and one(S.print_size(F.lit(9999).cast("long"))) == "9999 B"
     assert str(one(S.parse_time(F.lit("86400")))) .startswith("1970-01-02") and one(S.parse_time(F.lit("junk"))) is None
     assert one(S.print_time(F.lit(None).cast("timestamp"), "minute")) == "---------- --:--"
+
+
+def test_bytes(spark):
+    df = spark.createDataFrame([(b"abc", "aéŁĀ\u1e9e"), (b"\0\0", ""), (None, None)], "d binary, t string")
+    got = df.select(B.adler32("d").alias("a"), B.base_letters("t").alias("b"), B.zero_blocks(F.col("d")).alias("z")).collect()
+    assert [r.a for r in got] == [zlib.adler32(b"abc"), zlib.adler32(b"\0\0"), None]
+    assert [r.b for r in got] == ["aéŁA\u1e9e", "", None] and [r.z for r in got] == [False, True, None]
+
+
+def test_phantoms(spark):
+    a, b = (extents.phantoms(spark, 50, 3, 100).collect() for _ in range(2))
+    assert a == b and all(1 <= r.size <= 100 for r in a) and a[7].id == "PHT007"
