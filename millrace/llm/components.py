@@ -29,7 +29,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(a long, b long) to (id, comp): each linked id with the least id it can reach.
+    """links(a long, b long) to a saved table (id, comp): each linked id with the least id it can reach.
 
     Steps run until nothing changes, each written to the shared folder. Loops and
     repeated links don't matter; ids without links get no row.
@@ -43,4 +43,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = step
     pairs = edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("comp"))
-    return pairs.unionByName(roots).distinct()
+    out = saved(pairs.unionByName(roots).distinct(), "components")
+    delete(edges)
+    return out

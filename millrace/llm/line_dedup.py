@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import let, saved, side
+from .store import delete, let, saved, side
 
 #: Shorter lines stay as they are: headings, list marks and single words repeat by nature.
 MIN_WORDS = 4
@@ -34,6 +34,12 @@ def _order(doc_id: Column, th: Column, pos: Column) -> Column:
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), th.alias("th"), pos.alias("pos"))
 
 
+def _keep(spent: list[DataFrame], df: DataFrame, name: str) -> DataFrame:
+    """df saved, and noted among the tables to delete."""
+    spent.append(saved(df, name))
+    return spent[-1]
+
+
 def _halves(words: Column) -> Column:
     """Keys of the halves that a line shares with a line one edit away."""
     n = F.size(words)
@@ -59,10 +65,10 @@ def _occurrences(docs: DataFrame, min_words: int, near_min_words: int) -> DataFr
     )
 
 
-def _lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+def _lines_at(docs: DataFrame, places: DataFrame, spent: list) -> DataFrame:
     """places (saved, of at) with the words of the line there."""
     text = F.coalesce("text", F.lit(""))
-    of_doc = saved(places.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.pos").alias("want")), "lines-wanted")
+    of_doc = _keep(spent, places.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.pos").alias("want")), "lines-wanted")
     own = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
     found = own.join(side(of_doc, 200), (F.col("t") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id")))
     lines = found.select("doc_id", "th", F.split("text", "\n").alias("lines"), F.explode("want").alias("pos"))
@@ -101,13 +107,13 @@ def _spellings(words: Column) -> Column:
     return let(places, walk)
 
 
-def near_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
+def near_earlier(docs: DataFrame, first: DataFrame, spent: list) -> DataFrame:
     """at of those distinct lines (first: at, halves of each) that have a near line before them."""
     keyed = first.where("halves is not null").select("at", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    live = saved(keyed.join(shared, "half", "left_semi").select("at").distinct(), "live-lines")
-    lines = _lines_at(docs, live).repartitionByRange("at").sortWithinPartitions("at")
-    lines = saved(lines.withColumn("id", F.monotonically_increasing_id()), "live-words")  # ids in order of at
+    live = _keep(spent, keyed.join(shared, "half", "left_semi").select("at").distinct(), "live-lines")
+    lines = _lines_at(docs, live, spent).repartitionByRange("at").sortWithinPartitions("at")
+    lines = _keep(spent, lines.withColumn("id", F.monotonically_increasing_id()), "live-words")  # ids in order of at
     n = F.size("words")
     rests = lines.select("id", n.alias("n"), F.explode(F.array(_spellings(F.col("words")))).alias("s")).select("id", "n", "s.own", "s.rests")
     kind = lambda k, key: F.struct(F.lit(k).alias("kind"), key.alias("key"))
@@ -116,7 +122,7 @@ def near_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
         F.transform("rests", lambda r, i: kind("replace", F.xxhash64(r, i, "n"))),
         F.transform("rests", lambda r: kind("delete", r)),
     )
-    emitted = saved(rests.select("id", F.inline(variants)), "line-variants")
+    emitted = _keep(spent, rests.select("id", F.inline(variants)), "line-variants")
     least = lambda k: F.min(F.when(F.col("kind") == k, F.col("id")))
     groups = emitted.groupBy("key").agg(least("replace").alias("r"), least("self").alias("s"), least("delete").alias("d"), F.count("*").alias("n")).where("n > 1")
     # The earliest line near a member by this key, if it is before it.
@@ -128,18 +134,21 @@ def near_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS) -> DataFrame:
-    """doc_id, th (hash of the text), removed (line numbers from 0) of the documents that lose lines."""
+    """doc_id, th (hash of the text), removed (line numbers from 0) of the documents that lose lines: a saved table."""
+    spent: list[DataFrame] = []
     near_min_words = max(near_min_words, 3)  # with fewer, a half would be empty
-    lines = saved(_occurrences(docs, min_words, near_min_words), "lines")
+    lines = _keep(spent, _occurrences(docs, min_words, near_min_words), "lines")
     first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves"))
-    first = saved(first, "first-lines")
-    copies = saved(first.where("n > 1").select("h1", "h2", F.col("at").alias("kept")), "copied-lines")
+    first = _keep(spent, first, "first-lines")
+    copies = _keep(spent, first.where("n > 1").select("h1", "h2", F.col("at").alias("kept")), "copied-lines")
     again = lines.join(side(copies, 64), ["h1", "h2"]).where("at > kept").select("at")
-    near = near_earlier(docs, first.select("at", "halves"))
-    gone = saved(first.join(near, "at", "left_semi").select("h1", "h2"), "near-lines")
+    near = near_earlier(docs, first.select("at", "halves"), spent)
+    gone = _keep(spent, first.join(near, "at", "left_semi").select("h1", "h2"), "near-lines")
     edited = lines.join(side(gone, 32), ["h1", "h2"], "left_semi").select("at")
     both = again.unionByName(edited)
-    return both.groupBy("at.doc_id", "at.th").agg(F.sort_array(F.collect_set("at.pos")).alias("removed"))
+    out = saved(both.groupBy("at.doc_id", "at.th").agg(F.sort_array(F.collect_set("at.pos")).alias("removed")), "removed-lines")
+    delete(*spent)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS) -> DataFrame:
@@ -151,8 +160,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int
     no lines. Rows equal in doc_id and text count as one and keep the same lines.
     A column of docs named lines_total or lines_removed is replaced.
     """
-    gone = saved(removed_lines(docs, min_words, near_min_words), "removed-lines")
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("removed").alias("_r"))
+    gone = removed_lines(docs, min_words, near_min_words).withColumnsRenamed({"doc_id": "_d", "th": "_t", "removed": "_r"})
     text = F.coalesce("text", F.lit(""))
     def rest(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_r"))

@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     full = saved(texts.select("id", "text").mapInArrow(partial(_shingled, size=size), "id long, shingles array<long>, bits array<long>").dropDuplicates(["id"]), "near-full")
 
     bounds = saved(_bounded(full), "near-bounds")
-    active = saved(_open(active.join(side(bounds, 160), "id"), percent), "near-members")
+    members, active = active, saved(_open(active.join(side(bounds, 160), "id"), percent), "near-members")
+    delete(wanted, bounds, members)
 
     # To begin with, each set meets the least representative of all its buckets.
     least = active.groupBy("key").agg(F.min("id").alias("r"))
@@ -238,11 +239,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     links = _confirm(tested, sets, full, percent)
     reps = 1
     while True:
-        comps = saved(components(links), "near-comps")
+        comps = components(links)
         labelled = active.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("id", "comp")).alias("r")).where("lo <> hi")
         labelled = saved(labelled.join(open_keys.select("key", F.col("r.comp").alias("main")), "key"), "near-open")
+        delete(active)
         if labelled.isEmpty():
+            delete(labelled, links, tested, full)
             break
         # Half of the representatives come from outside the first member's component, the rest from anywhere.
         apart = W.partitionBy("key").orderBy(F.col("comp") == F.col("main"), "id")
@@ -255,11 +258,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         met = met.where((F.col("comp") != F.col("r_comp")) & _possible(common, F.col("n"), F.col("r_n"), percent))
         pairs = met.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct()
         new = saved(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        links = saved(links.unionByName(_confirm(new, sets, full, percent)), "near-links")
-        tested = saved(tested.unionByName(new), "near-pairs")
+        found = _confirm(new, sets, full, percent)
         unmet = saved(labelled.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n", "c", "bits"), "near-unmet")
         active = saved(_open(unmet, percent), "near-members")
-        delete(labelled)
+        spent = (links, tested, new, found, labelled, chosen, unmet, comps)
+        links, tested = saved(links.unionByName(found), "near-links"), saved(tested.unionByName(new), "near-pairs")
+        delete(*spent)
         reps *= GROWTH
 
     named = sets.join(comps, "id", "left").select("sid", "least", F.coalesce("comp", "id").alias("comp"))
