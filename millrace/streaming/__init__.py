@@ -1 +1 @@
-"""Part of millrace; see README."""
+"""No streaming operators: the surveyed tools have none, and none are invented here."""
