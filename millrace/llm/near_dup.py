@@ -189,9 +189,16 @@ def _differ(a: Column, b: Column) -> Column:
 
 
 def _open(members: DataFrame, percent: int) -> DataFrame:
-    """Members(key, id, n, c, bits) that may be near another one of their bucket."""
-    least = members.groupBy("key").agg(F.min("n").alias("lo"), F.count("*").alias("k")).where("k > 1")
-    return members.join(least, "key").where(_possible(F.col("c"), F.col("n"), F.greatest("lo", "c"), percent)).select("key", "id", "n", "c", "bits")
+    """Members(key, id, n, c, bits) that may be near another one of their bucket: a saved table.
+
+    What a bucket needs to be told is joined to its members where they lie, if it is
+    small enough: so a large bucket's members stay spread.
+    """
+    least = saved(members.groupBy("key").agg(F.min("n").alias("lo"), F.count("*").alias("k")).where("k > 1").select("key", "lo"), "near-least")
+    likely = members.join(side(least, 16), "key").where(_possible(F.col("c"), F.col("n"), F.greatest("lo", "c"), percent))
+    out = saved(likely.select("key", "id", "n", "c", "bits"), "near-members")
+    delete(least)
+    return out
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     full = saved(texts.select("id", "text").mapInArrow(partial(_shingled, size=size), "id long, shingles array<long>, bits array<long>").dropDuplicates(["id"]), "near-full")
 
     bounds = saved(_bounded(full), "near-bounds")
-    members, active = active, saved(_open(active.join(side(bounds, 160), "id"), percent), "near-members")
+    members, active = active, _open(active.join(side(bounds, 160), "id"), percent)
     delete(wanted, bounds, members)
 
     # To begin with, each set meets the least representative of all its buckets.
@@ -242,8 +249,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         comps = components(links)
         labelled = active.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("id", "comp")).alias("r")).where("lo <> hi")
-        labelled = saved(labelled.join(open_keys.select("key", F.col("r.comp").alias("main")), "key"), "near-open")
-        delete(active)
+        open_keys = saved(open_keys.select("key", F.col("r.comp").alias("main")), "near-open-keys")
+        labelled = saved(labelled.join(side(open_keys, 16), "key"), "near-open")
+        delete(active, open_keys)
         if labelled.isEmpty():
             delete(labelled, links, tested, full)
             break
@@ -252,7 +260,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         anywhere = W.partitionBy("key").orderBy(F.xxhash64("id", F.lit(reps)), "id")
         first = lambda w: labelled.withColumn("at", F.row_number().over(w)).where(F.col("at") <= reps).select("key", "id", "comp", "n", "c", "bits")
         chosen = saved(first(apart).unionByName(first(anywhere)).distinct(), "near-reps")
-        met = chosen.select("key", *[F.col(x).alias(f"r_{x}") for x in ("id", "comp", "n", "c", "bits")]).join(labelled, "key")
+        reps_of = side(chosen, 180).select("key", *[F.col(x).alias(f"r_{x}") for x in ("id", "comp", "n", "c", "bits")])
+        met = labelled.join(reps_of, "key")
         alike = F.floor((F.col("n") + F.col("r_n") - _differ(F.col("bits"), F.col("r_bits"))) / 2).cast("int")
         common = F.least("c", "r_c", alike)
         met = met.where((F.col("comp") != F.col("r_comp")) & _possible(common, F.col("n"), F.col("r_n"), percent))
@@ -260,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         new = saved(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         found = _confirm(new, sets, full, percent)
         unmet = saved(labelled.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n", "c", "bits"), "near-unmet")
-        active = saved(_open(unmet, percent), "near-members")
+        active = _open(unmet, percent)
         spent = (links, tested, new, found, labelled, chosen, unmet, comps)
         links, tested = saved(links.unionByName(found), "near-links"), saved(tested.unionByName(new), "near-pairs")
         delete(*spent)
