@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that stand earlier; those left without a word go, for all their lines stand elsewhere."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_every_line(docs)
     left = (F.size("lines_removed") == 0) | F.col("text").rlike(quality.WORD)
     return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -1,4 +1,4 @@
-"""Line deduplication by deletion neighbourhoods, edits counted in words.
+"""Line deduplication by deletion neighbourhoods, edits counted in words, in short lines in characters.
 
 Two lines are near if one word inserted, deleted or replaced turns one into the
 other. A line emits a hashed key for each word left out (with its position, for
@@ -9,6 +9,9 @@ the others: no pairs are emitted within a key.
 
 Only lines that share their first or last half with another line can be near any
 (one edit leaves a half alone), so only they emit keys.
+
+The same holds for characters in place of words. A line of few words, or in a script
+without spaces, emits the keys of its characters.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .store import delete, let, saved, side
 
-#: Shorter lines stay as they are: headings, list marks and single words repeat by nature.
+#: dedup_lines leaves shorter lines as they are, unless told otherwise; dedup_every_line doesn't.
 MIN_WORDS = 4
-#: Lines of fewer words are compared exactly only: one word is too much of them.
+#: Lines of fewer words aren't near within a word: it is too much of them.
 NEAR_MIN_WORDS = 8
+#: dedup_every_line: lines of up to NEAR_MIN_WORDS words are near within a character if both have as many of these.
+NEAR_MIN_CHARS = 8
 
 
 def _words(line: Column) -> Column:
@@ -52,16 +57,39 @@ def _halves(words: Column) -> Column:
     return F.array(*keys)
 
 
-def _occurrences(docs: DataFrame, min_words: int, near_min_words: int) -> DataFrame:
+def _by_chars(words: Column, near_min_words: int, near_min_chars: int | None) -> Column:
+    """Whether a line is compared by characters: also at near_min_words, which a space less leaves below."""
+    if near_min_chars is None:
+        return F.lit(False)
+    return (F.size(words) <= near_min_words) & (F.length(F.array_join(words, " ")) >= near_min_chars)
+
+
+def _char_halves(line: Column) -> Column:
+    """_halves in characters."""
+    n = F.length(line)
+    keys = []
+    for m in (n, n - 1):
+        a = F.floor((m - 1) / 2).cast("int")
+        keys.append(F.xxhash64(m, F.lit("first"), line.substr(F.lit(1), a)))
+        keys.append(F.xxhash64(m, F.lit("last"), line.substr(n - a + 1, a)))
+    return F.array(*keys)
+
+
+def _occurrences(docs: DataFrame, min_words: int, near_min_words: int, near_min_chars: int | None) -> DataFrame:
     """A narrow row for each line of min_words at least: where it is, its 128-bit hash and its halves."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     rows = rows.select("doc_id", "th", "pos", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    words, none = F.col("words"), F.array().cast("array<bigint>")
+    halves = F.when(F.size(words) >= near_min_words, _halves(words))
+    if near_min_chars is not None:
+        chars = F.when(_by_chars(words, near_min_words, near_min_chars), _char_halves(F.array_join(words, " ")))
+        halves = F.when(F.size(words) > near_min_words, halves).otherwise(F.concat(F.coalesce(halves, none), F.coalesce(chars, none)))
     return rows.select(
         _order(F.col("doc_id"), F.col("th"), F.col("pos")).alias("at"),
         F.xxhash64("words").alias("h1"),
         F.xxhash64(F.lit(1), "words").alias("h2"),
-        F.when(F.size("words") >= near_min_words, _halves(F.col("words"))).alias("halves"),
+        halves.alias("halves"),
     )
 
 
@@ -76,7 +104,7 @@ def _lines_at(docs: DataFrame, places: DataFrame, spent: list) -> DataFrame:
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
-    """Word edit distance of two arrays at most 1: what differs between their common ends is one word at most."""
+    """Edit distance of two arrays at most 1: what differs between their common ends is one element at most."""
 
     def common(x: Column, y: Column) -> Column:
         first = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False))
@@ -87,13 +115,13 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return near & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
-def _spellings(words: Column) -> Column:
-    """own: hash of an array of words; rests: its hash without each of them in turn.
+def _spellings(units: Column, form: Column) -> Column:
+    """own: hash of an array of words or characters, as form says; rests: its hash without each of them in turn.
 
-    A hash is the exclusive or of the words' hashes at their places; leaving out a word
+    A hash is the exclusive or of the units' hashes at their places; leaving out a unit
     moves those after it one place down.
     """
-    places = F.transform(words, lambda w, i: F.struct(F.xxhash64(w, i).alias("a"), F.xxhash64(w, i - 1).alias("b")))
+    places = F.transform(units, lambda w, i: F.struct(F.xxhash64(form, w, i).alias("a"), F.xxhash64(form, w, i - 1).alias("b")))
     long = lambda x: x.cast("long")
 
     def step(s: Column, x: Column) -> Column:
@@ -107,15 +135,22 @@ def _spellings(words: Column) -> Column:
     return let(places, walk)
 
 
-def near_earlier(docs: DataFrame, first: DataFrame, spent: list) -> DataFrame:
+def near_earlier(docs: DataFrame, first: DataFrame, spent: list, near_min_words: int, near_min_chars: int | None) -> DataFrame:
     """at of those distinct lines (first: at, halves of each) that have a near line before them."""
     keyed = first.where("halves is not null").select("at", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     live = _keep(spent, keyed.join(shared, "half", "left_semi").select("at").distinct(), "live-lines")
     lines = _lines_at(docs, live, spent).repartitionByRange("at").sortWithinPartitions("at")
     lines = _keep(spent, lines.withColumn("id", F.monotonically_increasing_id()), "live-words")  # ids in order of at
-    n = F.size("words")
-    rests = lines.select("id", n.alias("n"), F.explode(F.array(_spellings(F.col("words")))).alias("s")).select("id", "n", "s.own", "s.rests")
+    chars = lambda words: F.split(F.array_join(words, " "), "")
+    by_words = lambda words: F.size(words) >= near_min_words
+    by_chars = lambda words: _by_chars(words, near_min_words, near_min_chars)
+    form = lambda name, units: F.struct(F.lit(name).alias("form"), units.alias("units"))
+    forms = F.array(F.when(by_words("words"), form("words", F.col("words"))))
+    if near_min_chars is not None:
+        forms = F.array_append(forms, F.when(by_chars("words"), form("chars", chars("words"))))
+    units = lines.select("id", F.explode(F.array_compact(forms)).alias("f"))
+    rests = units.select("id", F.size("f.units").alias("n"), F.explode(F.array(_spellings(F.col("f.units"), F.col("f.form")))).alias("s")).select("id", "n", "s.own", "s.rests")
     kind = lambda k, key: F.struct(F.lit(k).alias("kind"), key.alias("key"))
     variants = F.concat(
         F.array(kind("self", F.col("own"))),
@@ -129,20 +164,26 @@ def near_earlier(docs: DataFrame, first: DataFrame, spent: list) -> DataFrame:
     partner = F.when(F.col("kind") == "replace", F.col("r")).when(F.col("kind") == "delete", F.col("s")).otherwise(F.col("d"))
     pairs = emitted.join(groups, "key").select("id", partner.alias("by")).where("by < id").distinct()
     texts = lambda x, *more: lines.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"), *more)
-    verified = pairs.join(texts("id", "at"), "id").join(texts("by"), "by").where(within_one_edit(F.col("id_words"), F.col("by_words")))
+    a, b = F.col("id_words"), F.col("by_words")
+    near = by_words(a) & by_words(b) & within_one_edit(a, b)
+    if near_min_chars is not None:
+        near = near | (by_chars(a) & by_chars(b) & within_one_edit(chars(a), chars(b)))
+    verified = pairs.join(texts("id", "at"), "id").join(texts("by"), "by").where(near)
     return verified.select("at").distinct()
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS, near_min_chars: int | None = None) -> DataFrame:
     """doc_id, th (hash of the text), removed (line numbers from 0) of the documents that lose lines: a saved table."""
     spent: list[DataFrame] = []
     near_min_words = max(near_min_words, 3)  # with fewer, a half would be empty
-    lines = _keep(spent, _occurrences(docs, min_words, near_min_words), "lines")
+    if near_min_chars is not None:
+        near_min_chars = max(near_min_chars, 4)  # as above
+    lines = _keep(spent, _occurrences(docs, min_words, near_min_words, near_min_chars), "lines")
     first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     first = _keep(spent, first, "first-lines")
     copies = _keep(spent, first.where("n > 1").select("h1", "h2", F.col("at").alias("kept")), "copied-lines")
     again = lines.join(side(copies, 64), ["h1", "h2"]).where("at > kept").select("at")
-    near = near_earlier(docs, first.select("at", "halves"), spent)
+    near = near_earlier(docs, first.select("at", "halves"), spent, near_min_words, near_min_chars)
     gone = _keep(spent, first.join(near, "at", "left_semi").select("h1", "h2"), "near-lines")
     edited = lines.join(side(gone, 32), ["h1", "h2"], "left_semi").select("at")
     both = again.unionByName(edited)
@@ -151,16 +192,18 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: i
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS, near_min_chars: int | None = None) -> DataFrame:
     """docs with text less its removed lines, and new columns lines_total, lines_removed (array of line numbers).
 
     A line is removed if the same line, or a near one, stands earlier in the table:
     by doc_id, then line number. What is near an earlier line goes even if that line
     goes too. White space within lines doesn't count. Null text stays null and has
     no lines. Rows equal in doc_id and text count as one and keep the same lines.
-    A column of docs named lines_total or lines_removed is replaced.
+    A column of docs named lines_total or lines_removed is replaced. With near_min_chars,
+    lines of at most near_min_words words and that many characters at least, white space
+    between words counted as one, are also near within a character.
     """
-    gone = removed_lines(docs, min_words, near_min_words).withColumnsRenamed({"doc_id": "_d", "th": "_t", "removed": "_r"})
+    gone = removed_lines(docs, min_words, near_min_words, near_min_chars).withColumnsRenamed({"doc_id": "_d", "th": "_t", "removed": "_r"})
     text = F.coalesce("text", F.lit(""))
     def rest(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_r"))
@@ -176,8 +219,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int
     )
 
 
+def dedup_every_line(docs: DataFrame) -> DataFrame:
+    """dedup_lines for each line that has a word: exactly, and within a word, or in lines of few words within a character."""
+    return dedup_lines(docs, 1, NEAR_MIN_WORDS, NEAR_MIN_CHARS)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = dedup_every_line(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(
         "doc_id",
         F.col("lines_total").alias("n_lines"),

@@ -1,0 +1,64 @@
+import random
+
+import pytest
+from cases import ODD, documents, frame, prose
+from test_line_dedup import found, near
+
+from millrace.llm import line_dedup
+
+
+def brute(rows):
+    """{(doc_id, text): removed lines}, by pairs of every line that has a word."""
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+    seen, out = [], {}
+    for doc_id, text in order:
+        gone = []
+        for pos, line in enumerate(text.split("\n")):
+            words = [w.decode() for w in line.encode().split()]
+            chars = list(" ".join(words))
+            if not words:
+                continue
+
+            def same(x):
+                by_words = len(words) >= 8 and len(x) >= 8 and near(words, x)
+                other = list(" ".join(x))
+                by_chars = len(words) <= 8 and len(x) <= 8 and len(chars) >= 8 and len(other) >= 8 and near(chars, other)
+                return words == x or by_words or by_chars
+
+            if any(same(x) for x in seen):
+                gone.append(pos)
+            seen.append(words)
+        out[doc_id, text] = gone
+    return out
+
+
+def short(n, seed=3):
+    """Lines of 1 to 9 short words or unspaced characters, and copies with a character changed."""
+    r = random.Random(seed)
+    lines = []
+    for _ in range(n):
+        if lines and r.random() < 0.5:
+            line, at = r.choice(lines), r.randrange(20)
+            line = r.choice((line, line[:at] + line[at + 1 :], line[:at] + r.choice("ab 中") + line[at + 1 :], line[:at] + r.choice("ab 文") + line[at:]))
+        elif r.random() < 0.3:
+            line = "".join(r.choice("中文字漢𠀀") for _ in range(r.randint(1, 30)))
+        else:
+            line = " ".join("".join(r.choice("abcde") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 9)))
+        lines.append(line)
+    return [(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(n // 4)]
+
+
+@pytest.mark.parametrize("rows", [prose(60), documents, ODD, short(400)], ids=["prose", "documents", "odd", "short"])
+def test_against_brute_force(spark, rows):
+    rows = rows(spark)[:60] if callable(rows) else rows
+    out = line_dedup.dedup_every_line(frame(spark, rows).selectExpr("*", "text AS before"))
+    assert found(out) == brute(rows)
+
+
+def test_pipeline_and_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\nLes.\n今日は天気がとても良いです\n1."), (2, "All rights reserved\nLes.\n今日は天気がとても悪いです\n2."), (3, "Les.\nall quite other words")]
+    df = frame(spark, rows, clash=False).selectExpr("*", "0L AS n_chars")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    assert got == {1: rows[0][1], 2: "2.", 3: "all quite other words"}
