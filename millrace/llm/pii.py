@@ -2,9 +2,10 @@
 
 The field labels the tokens of a line as O (nothing), K (a word that announces a
 secret), P (what joins it to the value) or V (the secret value) by features of word
-shape, and is trained on a small labelled table. Only tokens with a digit can be V,
-so lines without digits need no decoding; the others are decoded by Viterbi in
-numpy, many lines at a time.
+shape, and is trained on a small labelled table. Lines that hold no announcing word,
+no digit and no long run of characters need no decoding; the others are decoded by
+Viterbi in numpy, many lines at a time. Adjacent values are one span, up to white space,
+a quote, a bracket, & or a mark that ends a clause.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: What a token must hold to be a value.
-_VALUE = re.compile(r"[0-9]|[A-Z]{16}")
+_VALUE = re.compile(r"\w")
+#: What a line without an announcing word must hold to be decoded.
+_SHAPE = re.compile(r"[0-9]|[^\s\"'`]{16}")
 
 
 def _digits(text: str) -> list[int]:
@@ -83,12 +86,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- the field's features
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+#: What stands between quotes without a space; words joined by marks; single marks.
+_TOKEN = re.compile(r"(?<=[\"'`])[^\s\"'`]++(?=[\"'`])|[+/]?\w+(?:[-+/.~@!#$%^*?]+\w+)*|[^\w\s]")
+#: What belongs to a value after its last token.
+_REST = re.compile(r"[^\s\"'`,;.:()\[\]{}<>&]*")
 #: Words that may announce a secret, in lower case; the field learns what they are worth.
 ANNOUNCING = frozenset(("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "auth", "credential", "access_key", "secret_key", "access_token"))
+#: Each of them holds one of these.
+_STEMS = ("key", "token", "secret", "pass", "pwd", "auth", "credential")
 _CLASSES = ("word", "announcing", "=", ":", "quote", "mark", "digits", "mixed", "none")
 #: Starts of common access keys.
-PREFIXES = ("AKIA", "ASIA", "ghp_", "xoxb", "AIza")
+PREFIXES = ("AKIA", "ASIA", "ghp_", "xoxb", "AIza", "sk-", "eyJ")
+_STARTS = re.compile("|".join(PREFIXES))
+_PARTED = re.compile(r"[-._]")
+_MARK = re.compile(r"[^\w]")
+_HUMPS = re.compile(r"[a-zß-ÿ][A-Z]")
 _HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 _RUNS = re.compile(r"[0-9]+|[^0-9]+")
 FEATURES = 1 << 10
@@ -96,15 +108,20 @@ FEATURES = 1 << 10
 
 def _class(token: str) -> int:
     """Class of a token as its neighbours see it."""
-    if token.lower() in ANNOUNCING:
+    if token.lower() in ANNOUNCING or _PARTED.split(token.lower())[-1] in ANNOUNCING:
         return 1
     if token in ("=", ":"):
         return 2 + (token == ":")
     if token in "\"'`":
         return 4
-    if not (token[0].isalnum() or token[0] == "_"):
+    if not _VALUE.search(token):
         return 5
-    return (6 if token.isdigit() else 7) if _DIGIT.search(token) else 0
+    return (6 if token.lower() == token.upper() else 7) if _DIGIT.search(token) else 0
+
+
+def _announces(line: str) -> bool:
+    low = line.lower()
+    return any(w in low for w in _STEMS)
 
 
 def _length(n: int) -> int:
@@ -117,8 +134,9 @@ def _own_features(token: str) -> list[int]:
     kinds = upper + 2 * lower + 4 * digit
     length = _length(len(token))
     runs = min(5, len(list(islice(_RUNS.finditer(token), 6))))
-    hexed = bool(_HEX.match(token))
-    return [_class(token), 16 + kinds, 32 + length, 64 + kinds * 16 + length, 256 + kinds * 8 + runs, 384 + hexed * 16 + length, 448 + hexed * 128 + length * 8 + runs, 900 + (PREFIXES.index(token[:4]) + 1 if token[:4] in PREFIXES else 0)]
+    hexed, start, found = bool(_HEX.match(token)), _STARTS.match(token), set(_MARK.findall(token))
+    marks = ("." in found) + 2 * ("@" in found) + 4 * ("/" in found) + 8 * bool(found - set("./@"))
+    return [_class(token), 16 + kinds, 32 + length, 64 + kinds * 16 + length, 256 + kinds * 8 + runs, 384 + hexed * 16 + length, 448 + hexed * 128 + length * 8 + runs, 900 + (PREFIXES.index(start[0]) + 1 if start else 0), 920 + marks, 940 + min(3, len(list(islice(_HUMPS.finditer(token), 3)))) * 10 + length]
 
 
 #: Offsets of the neighbours whose class counts, each with a range of features of its own.
@@ -129,7 +147,7 @@ _NONE = _CLASSES.index("none")
 def labelled_table(lines: int = TRAINING_LINES, seed: int = TRAINING_SEED) -> list[tuple[list[str], str]]:
     """The labelled table: tokens of a line, one label each. Invented lines; about half hold a secret."""
     r = random.Random(seed)
-    hexa, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    low, hexa, mixed = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
 
     def digital(chars, n):
@@ -150,15 +168,27 @@ def labelled_table(lines: int = TRAINING_LINES, seed: int = TRAINING_SEED) -> li
             f"version {n(1, 20)}.{n(0, 9)}", f"{n(1, 999)}", f"{n(1, 99)}th", f"{some('ABC', 1)}{n(1, 999)}", f"{some(hexa[10:], 3)}.{n(10, 99)}@mail{n(0, 9)}.example.com",
             f"http://www.example.com/{n(1, 999)}.html?page={n(1, 9)}", f"{n(1, 9)},{n(100, 999)},{n(100, 999)}", f"size = {n(1, 9999)}", f"page: {n(1, 500)}", f"the key {n(1, 9)}",
             f"token {n(1, 99)}", f"id={n(1, 99999)}", f"{n(10, 99)}%", f"{n(1, 12)}:{n(10, 59)}", f"ISBN {n(10**9, 10**10 - 1)}", f"x{n(1, 9)} = \"{n(1, 99)}\"", some(mixed[26:], 4) + some("abc", 4), some(mixed[:26], r.randint(12, 24)),
+            f"{some(low, 5)}-{some(low, 6)}", f"{some(low, 4)}/{some(low, 5)}-{some(low, 3)}.txt", some(low, r.randint(12, 30)), f"{n(1990, 2030)}-{n(10, 12)}-{n(10, 28)}", f"a {some(low, 4)} token {some(low, 5)}", f"the key word {some(low, 6)}",
+            f"password {some(low, 5)}", f"{some(low, 5)}: {some(low, 6)}", f"{some(low, 4)} = \"{some(low, 8)}\"", f"{some(low, 3).capitalize()}{some(low, 5).capitalize()}",
         ))
 
     def secret():
-        kind = r.randrange(3)
+        kind, every = r.randrange(5), mixed + low + "0189"
+        part = lambda a, b: some(every, r.randint(a, b))
         if kind == 0:
-            return [("AKIA" + some(mixed, 16), "V")]
+            return [(r.choice((
+                "AKIA" + some(mixed, 16), "AKIA" + some(mixed, 16), "ASIA" + some(mixed, 16), "ghp_" + part(30, 36), f"xoxb-{r.randint(10**9, 10**12)}-{part(16, 24)}", "sk-" + part(20, 48),
+                "AIza" + part(30, 35), f"eyJ{part(14, 30)}.eyJ{part(14, 60)}.{part(20, 43)}",
+            )), "V")]
         name = r.choice(sorted(ANNOUNCING))
         name = r.choice((name, name, name.upper(), name.capitalize()))
         value = digital(hexa, r.choice((16, 18, 24, 32, 40, 64))) if kind == 1 or r.random() < 0.6 else digital(hexa + "ghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", r.randint(10, 44))
+        if kind > 2:
+            words = [some(low, r.randint(3, 8)) for _ in range(r.randint(1, 4))]
+            value = r.choice((
+                "".join(words), words[0] + "".join(w.capitalize() for w in words[1:]), "-".join(words), "-".join(w.capitalize() for w in words) + some("0123456789", 1), r.choice(".+/_!#$%").join(words),
+                some(every, 10) + "/" + some(every, 12) + "+" + some(every, 9), some(mixed[:26], 14),
+            ))
         quote = r.choice(("", '"', '"', "'"))
         join = r.choice(("=", "=", ":"))
         marks = [(join, "P")] + [(quote, "P")] * bool(quote)
@@ -171,7 +201,7 @@ def labelled_table(lines: int = TRAINING_LINES, seed: int = TRAINING_SEED) -> li
             parts += (secret() if i % 2 else [(harmless(), "O")]) + prose()
         tokens, labels = [], ""
         for text, label in parts:
-            own = _TOKEN.findall(text)
+            own = [text] if label == "V" else _TOKEN.findall(text)
             tokens += own
             labels += label * len(own)
         if tokens:
@@ -278,13 +308,20 @@ def secret_spans(texts: list[str], field: Field) -> list[list[tuple[int, int]]]:
 
     def decode():
         for (i, spans, _), labels in zip(waiting, field.viterbi([s for _, _, s in waiting]) if waiting else []):
-            out[i] += [spans[k] for k in np.flatnonzero(labels == LABELS.index("V"))]
+            last = -1
+            for k in np.flatnonzero(labels == LABELS.index("V")):
+                start, end = spans[k]
+                end = _REST.match(texts[i], end).end()
+                if start <= last:
+                    start, end = out[i].pop()[0], max(end, last)
+                out[i].append((start, end))
+                last = end
         waiting.clear()
 
     for i, text in enumerate(texts):
         at = 0
-        for line in text.split("\n") if _VALUE.search(text) else ():
-            if _VALUE.search(line):
+        for line in text.split("\n"):
+            if _SHAPE.search(line) or _announces(line):
                 found = list(_TOKEN.finditer(line))
                 tokens = [m[0] for m in found]
                 scores = field.emissions(field.features(tokens, known), np.array([bool(_VALUE.search(t)) for t in tokens]))
