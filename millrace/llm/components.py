@@ -1,48 +1,43 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table, by contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import delete, saved
+from .store import delete, saved, side
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours, and the node, linked to the least of all of them."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.where("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node, and its smaller neighbours, linked to the least of these."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    out = down.join(least, "a").select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m"))
-    return out.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _onto(df: DataFrame, column: str, steps: DataFrame) -> DataFrame:
+    """df with a column's ids replaced by those that steps(id, to), a saved table, has for them."""
+    to = side(steps).select(F.col("id").alias("_id"), F.col("to").alias("_to"))
+    return df.join(to, F.col(column) == F.col("_id"), "left").withColumn(column, F.coalesce("_to", column)).drop("_id", "_to")
 
 
 def components(links: DataFrame) -> DataFrame:
     """links(a long, b long) to a saved table (id, comp): each linked id with the least id it can reach.
 
-    Steps run until nothing changes, each written to the shared folder. Loops and
-    repeated links don't matter; ids without links get no row.
+    In each round every id steps to its least neighbour, if that is less; steps are followed to
+    their ends, and what they join becomes one id, until no links are left. Each round is written
+    to the shared folder. Loops and repeated links don't matter; ids without links get no row.
     """
-    edges = saved(links.where("a <> b").select("a", "b"), "edges")
-    before = None
-    while before != (now := _mark(edges)):
-        before = now
-        step = saved(_small_star(_star(edges)), "edges")
+    edges = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"), "edges", n=F.count(F.lit(1)))
+    nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "linked")
+    comps, spent = nodes.withColumn("comp", F.col("id")), [nodes]
+    while edges.told["n"]:
+        steps = saved(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), "steps", sized=True)
+        moved = True
+        while moved:
+            further = _onto(steps.withColumn("was", F.col("to")), "to", steps)
+            jumped = saved(further, "steps", sized=True, moved=F.count_if(F.col("was") != F.col("to")))
+            delete(steps)
+            steps, moved = jumped, jumped.told["moved"]
+        comps = _onto(comps, "comp", steps)
+        left = _onto(_onto(edges, "a", steps), "b", steps).where("a <> b")
+        left = saved(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges", n=F.count(F.lit(1)))
         delete(edges)
-        edges = step
-    pairs = edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("comp"))
-    out = saved(pairs.unionByName(roots).distinct(), "components")
-    delete(edges)
+        spent.append(steps)
+        edges = left
+    out = saved(comps, "components", sized=True)
+    delete(edges, *spent)
     return out

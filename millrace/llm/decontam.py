@@ -67,11 +67,11 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         return own.limit(0).select("doc_id", "th", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared"))
     rows = own.select("doc_id", "th", _words(F.col("text")).alias("words"))
     samples = saved(items.select("item_id", "n", "need", F.explode("sample").alias("shingle")), "item-samples")
-    hits = rows.select("doc_id", "th", F.explode(_shingles(F.col("words"), widths)).alias("shingle")).join(side(samples, 40), "shingle")
+    hits = rows.select("doc_id", "th", F.explode(_shingles(F.col("words"), widths)).alias("shingle")).join(side(samples), "shingle")
     counted = hits.groupBy("doc_id", "th", "item_id", "n", "need").agg(F.count_distinct("shingle").alias("held"))
     found = saved(counted.where("held >= need").select("doc_id", "th", "item_id", "n"), "item-candidates")
     wanted = saved(found.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct(), "item-documents")
-    texts = own.join(side(wanted, 24), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("d", "t", "text")
+    texts = own.join(side(wanted), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("d", "t", "text")
     full = texts.dropDuplicates(["d", "t"]).select("d", "t", _words(F.col("text")).alias("words"))
     full = full.select("d", "t", _shingles(F.col("words"), widths).alias("have"))
     pairs = found.join(full, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).join(items.select("item_id", "n", "shingles"), ["item_id", "n"])

@@ -98,7 +98,7 @@ def _lines_at(docs: DataFrame, places: DataFrame, spent: list) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     of_doc = _keep(spent, places.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.pos").alias("want")), "lines-wanted")
     own = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
-    found = own.join(side(of_doc, 200), (F.col("t") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id")))
+    found = own.join(side(of_doc), (F.col("t") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id")))
     lines = found.select("doc_id", "th", F.split("text", "\n").alias("lines"), F.explode("want").alias("pos"))
     return lines.select(_order(F.col("doc_id"), F.col("th"), F.col("pos")).alias("at"), _words(F.col("lines")[F.col("pos")]).alias("words")).dropDuplicates(["at"])
 
@@ -182,10 +182,10 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: i
     first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     first = _keep(spent, first, "first-lines")
     copies = _keep(spent, first.where("n > 1").select("h1", "h2", F.col("at").alias("kept")), "copied-lines")
-    again = lines.join(side(copies, 64), ["h1", "h2"]).where("at > kept").select("at")
+    again = lines.join(side(copies), ["h1", "h2"]).where("at > kept").select("at")
     near = near_earlier(docs, first.select("at", "halves"), spent, near_min_words, near_min_chars)
     gone = _keep(spent, first.join(near, "at", "left_semi").select("h1", "h2"), "near-lines")
-    edited = lines.join(side(gone, 32), ["h1", "h2"], "left_semi").select("at")
+    edited = lines.join(side(gone), ["h1", "h2"], "left_semi").select("at")
     both = again.unionByName(edited)
     out = saved(both.groupBy("at.doc_id", "at.th").agg(F.sort_array(F.collect_set("at.pos")).alias("removed")), "removed-lines")
     delete(*spent)
@@ -210,7 +210,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    joined = docs.drop("lines_total", "lines_removed").join(side(gone, 100), (F.xxhash64(text) == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    joined = docs.drop("lines_total", "lines_removed").join(side(gone), (F.xxhash64(text) == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     return (
         joined.withColumn("lines_total", F.when(F.col("text").isNull(), 0).otherwise(n_lines))
         .withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest)))

@@ -6,11 +6,11 @@ shingles' exponential hash values there, kept as its rounded logarithm to a base
 near into buckets; a pair's similarity is estimated from its registers by maximum
 likelihood, and confirmed on the full shingle sets.
 
-A bucket is settled once its members are of one component. Each round compares a
-bucket's representatives with its members of other components only, and
-takes more representatives where members remain apart; a representative has met
-all members, so it leaves the bucket. Pairs within a component are never made, nor
-pairs that can't be near: two sets share at most what of each occurs in another set
+A bucket's members first meet its least one. A bucket is settled once its members are
+of one component; else some of its members, drawn by hash, meet its members of other
+components, and leave the bucket, for they have met all. In a bucket of up to REPRESENTATIVES
+these are all members; a larger one needs another round, so a round looks at each member
+so many times at most. Pairs within a component are not made, nor pairs that can't be near: two sets share at most what of each occurs in another set
 at all, and differ in an element at least for each bit that differs in the bitmaps that
 their shingles are hashed to.
 """
@@ -22,7 +22,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,9 +38,9 @@ BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 MARGIN = 0.2
 #: Bits of the bitmaps.
 BITS = 1024
-#: Representatives of a bucket grow by this factor each round.
-GROWTH = 8
-BATCH_TEXTS, BATCH_SHINGLES = 2048, 1 << 20
+#: Members of a bucket that meet its others in the first round, about; the factor by which they grow each round.
+REPRESENTATIVES, GROWTH = 64, 16
+BATCH_TEXTS, BATCH_SHINGLES = 2048, 1 << 18
 
 _U = np.uint64
 
@@ -172,10 +171,13 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def _bounded(full: DataFrame) -> DataFrame:
-    """id, n, c, bits: sizes of the full sets, how many of their shingles another of them holds, and their bitmaps."""
+    """id, n, c, bits: sizes of the full sets, how many of their shingles another of them holds, and their bitmaps: saved."""
     once = full.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id"))
-    own = once.where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
-    return full.select("id", F.size("shingles").alias("n"), "bits").join(own, "id", "left").select("id", "n", "bits", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+    own = saved(once.where("k = 1").groupBy("id").agg(F.count("*").alias("u")), "near-own", sized=True)
+    out = full.select("id", F.size("shingles").alias("n"), "bits").join(side(own), "id", "left")
+    out = saved(out.select("id", "n", "bits", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c")), "near-bounds", sized=True)
+    delete(own)
+    return out
 
 
 def _possible(c: Column, n: Column, m: Column, percent: int) -> Column:
@@ -183,102 +185,104 @@ def _possible(c: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * c >= percent * (n + m - c)
 
 
-def _differ(a: Column, b: Column) -> Column:
-    """Bits that differ in two bitmaps."""
-    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
-
-
-def _open(members: DataFrame, percent: int) -> DataFrame:
-    """Members(key, id, n, c, bits) that may be near another one of their bucket: a saved table.
-
-    What a bucket needs to be told is joined to its members where they lie, if it is
-    small enough: so a large bucket's members stay spread.
-    """
-    least = saved(members.groupBy("key").agg(F.min("n").alias("lo"), F.count("*").alias("k")).where("k > 1").select("key", "lo"), "near-least")
-    likely = members.join(side(least, 16), "key").where(_possible(F.col("c"), F.col("n"), F.greatest("lo", "c"), percent))
-    out = saved(likely.select("key", "id", "n", "c", "bits"), "near-members")
-    delete(least)
-    return out
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Those pairs(a, b) whose registers, then full sets, are near enough."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("regs").alias(f"{x}_regs"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    likely = saved(sized.mapInArrow(partial(_estimated, least=percent / 100 - MARGIN), "a long, b long"), "near-likely")
-    words = lambda x: full.select(F.col("id").alias(x), F.col("shingles").alias(f"{x}_s"))
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Sets whose n, c and bits have these prefixes may be near."""
+    bits = lambda i: F.bit_count(F.get(F.col(f"{a}bits"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}bits"), F.lit(i))))
+    differ = sum((bits(i) for i in range(1, BITS // 64)), bits(0))
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    few = _possible(F.least(f"{a}c", f"{b}c"), n, m, percent)
+    return few & _possible(F.floor((n + m - differ) / 2).cast("int"), n, m, percent)
+
+
+def _confirm(pairs: DataFrame, traits: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those pairs(a, b) whose bitmaps, then registers, then full sets, are near enough: a saved table."""
+    of = lambda x: side(traits).select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in traits.columns])
+    bounded = pairs.join(of("a"), "a").join(of("b"), "b").where(_alike("a_", "b_", percent))
+    registers = bounded.select("a", "b", "a_n", "b_n", "a_regs", "b_regs")
+    likely = saved(registers.mapInArrow(partial(_estimated, least=percent / 100 - MARGIN), "a long, b long"), "near-likely", sized=True)
+    either = likely.select(F.explode(F.array("a", "b")).alias("id"))
+    own = saved(full.join(side(either, of=likely), "id", "left_semi").select("id", "shingles"), "near-sets", sized=True)
+    words = lambda x: side(own).select(F.col("id").alias(x), F.col("shingles").alias(f"{x}_s"))
     both = F.size(F.array_intersect("a_s", "b_s"))
     links = likely.join(words("a"), "a").join(words("b"), "b").withColumn("both", both)
     links = links.where(100 * F.col("both") >= percent * (F.size("a_s") + F.size("b_s") - F.col("both")))
-    out = saved(links.select("a", "b"), "near-links")
-    delete(likely)
+    out = saved(links.select("a", "b"), "near-links", n=F.count(F.lit(1)))
+    delete(likely, own)
     return out
 
 
+def _links(members: DataFrame, traits: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """id, comp (saved) of the linked members of buckets members(key, id, n, c), a saved table, which goes."""
+    pair = (F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b"))
+    of = lambda *columns: [F.col(x).alias(f"r_{x}") for x in columns]
+    least = members.groupBy("key").agg(F.min(F.struct("id", "n", "c")).alias("r")).select("key", "r.*").select("key", *of("id", "n", "c"))
+    least = saved(least, "near-first", sized=True)
+    met = members.join(side(least), "key").where((F.col("id") != F.col("r_id")) & _possible(F.least("c", "r_c"), F.col("n"), F.col("r_n"), percent))
+    links = _confirm(met.select(*pair).distinct(), traits, full, percent)
+    comps = components(links)
+    rest = members.join(side(least), "key").where("id <> r_id").select("key", "id", "r_id")
+    rest = saved(rest, "near-members", n=F.count(F.lit(1)))  # of the first one, only the component counts from now on
+    delete(members, links)
+    reps = REPRESENTATIVES
+    while rest.told["n"]:
+        labelled = rest.join(side(comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+        keys = saved(keys.select("key", "k"), "near-open-keys", sized=True)
+        opened = labelled.join(side(keys), "key").join(side(traits.select("id", "n", "c", "bits"), of=traits), "id")
+        opened = opened.select("key", "id", "comp", "n", "c", "bits", (F.pmod(F.xxhash64("key", "id", F.lit(reps)), "k") < reps).alias("drawn"))
+        opened = saved(opened, "near-open")
+        drawn = saved(opened.where("drawn").select("key", *of("id", "comp", "n", "c", "bits")), "near-drawn", sized=True)
+        apart = (F.col("comp") != F.col("r_comp")) & (~F.col("drawn") | (F.col("id") < F.col("r_id")))
+        met = opened.join(side(drawn), (opened["key"] == drawn["key"]) & apart & _alike("", "r_", percent))
+        found = _confirm(met.select(*pair).distinct(), traits, full, percent)
+        spent = [rest, keys, opened, drawn, found]
+        if found.told["n"]:
+            both = found.unionByName(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+            spent.append(comps)
+            comps = components(both)
+        rest = saved(opened.where("not drawn").select("key", "id"), "near-members", n=F.count(F.lit(1)))
+        delete(*spent)
+        reps *= GROWTH
+    delete(least, rest)
+    return comps
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id, kept for each row of docs(doc_id, text).
 
     component_id is the least doc_id that links can reach; kept: it is the row's own.
     Null, empty and blank texts have no shingles and link with nothing. Null doc_ids
     count only if all of a component are null. Rows that share a doc_id are all kept
-    or all not. Other columns are ignored.
+    or all not. A text is one set however long it is. An empty table gives no rows.
+    Other columns are ignored.
     """
     rows = saved(_own(docs).mapInArrow(partial(_sketched, size=size), "doc_id long, th long, n long, sid binary, regs binary"), "near-rows")
-    sets = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    sets = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.min("doc_id").alias("least"), F.first("regs").alias("regs"))
     sets = saved(sets.withColumn("id", F.monotonically_increasing_id()), "near-sets")
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = sets.select("id", F.explode(bands).alias("key"))
-    shared = saved(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-keys")
-    active = saved(banded.join(side(shared, 8), "key", "left_semi"), "near-members")
-    delete(shared)
-    wanted = saved(active.select("id").distinct().join(sets.select("id", "of.doc_id", "of.th"), "id"), "near-wanted")
-    texts = _own(docs).join(side(wanted.withColumnsRenamed({"doc_id": "d", "th": "t"}), 24), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    shared = saved(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-keys", sized=True)
+    members = saved(banded.join(side(shared), "key", "left_semi"), "near-members")
+    ids = saved(members.select("id").distinct(), "near-ids", sized=True)
+    wanted = sets.join(side(ids), "id", "left_semi").select("id", F.col("of.doc_id").alias("d"), F.col("of.th").alias("t"), "regs")
+    wanted = saved(wanted, "near-wanted", sized=True)
+    texts = _own(docs).join(side(wanted.select("id", "d", "t"), of=wanted), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
     full = saved(texts.select("id", "text").mapInArrow(partial(_shingled, size=size), "id long, shingles array<long>, bits array<long>").dropDuplicates(["id"]), "near-full")
-
-    bounds = saved(_bounded(full), "near-bounds")
-    members, active = active, _open(active.join(side(bounds, 160), "id"), percent)
-    delete(wanted, bounds, members)
-
-    # To begin with, each set meets the least representative of all its buckets.
-    least = active.groupBy("key").agg(F.min("id").alias("r"))
-    pairs = active.join(least, "key").groupBy("id").agg(F.min("r").alias("r")).where("r < id").select(F.col("r").alias("a"), F.col("id").alias("b"))
-    tested = saved(pairs, "near-pairs")
-    links = _confirm(tested, sets, full, percent)
-    reps = 1
-    while True:
-        comps = components(links)
-        labelled = active.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("id", "comp")).alias("r")).where("lo <> hi")
-        open_keys = saved(open_keys.select("key", F.col("r.comp").alias("main")), "near-open-keys")
-        labelled = saved(labelled.join(side(open_keys, 16), "key"), "near-open")
-        delete(active, open_keys)
-        if labelled.isEmpty():
-            delete(labelled, links, tested, full)
-            break
-        # Half of the representatives come from outside the first member's component, the rest from anywhere.
-        apart = W.partitionBy("key").orderBy(F.col("comp") == F.col("main"), "id")
-        anywhere = W.partitionBy("key").orderBy(F.xxhash64("id", F.lit(reps)), "id")
-        first = lambda w: labelled.withColumn("at", F.row_number().over(w)).where(F.col("at") <= reps).select("key", "id", "comp", "n", "c", "bits")
-        chosen = saved(first(apart).unionByName(first(anywhere)).distinct(), "near-reps")
-        reps_of = side(chosen, 180).select("key", *[F.col(x).alias(f"r_{x}") for x in ("id", "comp", "n", "c", "bits")])
-        met = labelled.join(reps_of, "key")
-        alike = F.floor((F.col("n") + F.col("r_n") - _differ(F.col("bits"), F.col("r_bits"))) / 2).cast("int")
-        common = F.least("c", "r_c", alike)
-        met = met.where((F.col("comp") != F.col("r_comp")) & _possible(common, F.col("n"), F.col("r_n"), percent))
-        pairs = met.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct()
-        new = saved(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = _confirm(new, sets, full, percent)
-        unmet = saved(labelled.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n", "c", "bits"), "near-unmet")
-        active = _open(unmet, percent)
-        spent = (links, tested, new, found, labelled, chosen, unmet, comps)
-        links, tested = saved(links.unionByName(found), "near-links"), saved(tested.unionByName(new), "near-pairs")
-        delete(*spent)
-        reps *= GROWTH
-
-    named = sets.join(comps, "id", "left").select("sid", "least", F.coalesce("comp", "id").alias("comp"))
-    leasts = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    classes = named.join(leasts, "comp").select("sid", "component_id")
-    out = rows.select("doc_id", "th", "n", "sid").join(classes, "sid", "left")
+    bounds = _bounded(full)
+    hopeful = bounds.where(_possible(F.col("c"), F.col("n"), F.col("c"), percent))  # with a subset of themselves
+    traits = saved(wanted.select("id", "regs").join(side(hopeful, of=bounds), "id"), "near-traits", sized=True)
+    spent = [shared, members, ids, wanted, bounds]
+    members = saved(members.join(side(traits.select("id", "n", "c"), of=traits), "id"), "near-members")
+    delete(*spent)
+    comps = _links(members, traits, full, percent)
+    delete(traits, full)
+
+    linked = sets.join(side(comps), "id").groupBy("comp").agg(F.min("least").alias("first"))
+    firsts = saved(linked, "near-firsts", sized=True)
+    classes = sets.join(side(comps), "id", "left").join(side(firsts), "comp", "left")
+    classes = saved(classes.select("sid", F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("first")).alias("component_id")), "near-classes", sized=True)
+    delete(sets, comps, firsts)
+    out = rows.select("doc_id", "th", "n", "sid").join(side(classes), "sid", "left")
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join above this size isn't broadcast.
 BROADCAST_MB = 32
@@ -37,13 +38,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again."""
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in memory, at least."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            every = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, kind.elementType).cast("long"))
+            return F.lit(16) + F.coalesce(every, F.lit(0).cast("long"))
+        return F.lit(16) + F.coalesce(F.array_size(value), F.lit(0)) * 8
+    return F.lit(8)
+
+
+def saved(df: DataFrame, name: str, sized: bool = False, **measures: Column) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again.
+
+    sized: also add up, while writing, the bytes that its rows take in memory, for side().
+    measures: aggregates that are taken while writing; the table's told has their values.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    if sized:
+        row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+        measures["saved_bytes"] = F.sum(row.cast("long"))
+    told = Observation()
+    (df.observe(told, *[m.alias(k) for k, m in measures.items()]) if measures else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.saved_path = path
+    out.saved_path, out.told = path, told.get if measures else {}
     return out
 
 
@@ -55,9 +78,13 @@ def delete(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, a saved table, broadcast if its rows are small enough together; else Spark shuffles it."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_MB * 1e6 else df
+def side(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """df, broadcast if of (by default df), a table saved with its size, is small enough; else Spark shuffles it.
+
+    df may be some columns of the saved table, or some of its rows.
+    """
+    size = (df if of is None else of).told["saved_bytes"] or 0
+    return F.broadcast(df) if size <= BROADCAST_MB * 1e6 else df
 
 
 def let(value: Column, body) -> Column:
