@@ -13,7 +13,7 @@ def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs less rows(doc_id, th), th being the hash of a row's text."""
     gone = saved(rows.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "gone")
     same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_th")) & F.col("doc_id").eqNullSafe(F.col("gone_id"))
-    return docs.join(side(gone, 24), same, "left_anti")
+    return docs.join(side(gone), same, "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
