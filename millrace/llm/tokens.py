@@ -1,12 +1,15 @@
 """Whole-text encoding with a public tokenizers vocabulary.
 
-word_bpe_49k treats white space only as a separator, so a text's ids are the ids
-of its space- or newline-separated pieces in a row. Each worker keeps the ids of
-the pieces it has met and hands only new ones to the tokenizers library.
+In a vocabulary of the word_bpe_49k kind, white space does nothing but separate, so a text's
+ids are the ids of its space- or newline-separated pieces in a row. Each worker keeps the ids
+of some pieces that it has met and hands the others to the tokenizers library. Whether
+a vocabulary is of that kind is read from its file; with any other, every text is
+handed over whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -17,9 +20,9 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Pieces kept by a worker before it starts anew, and their mean length at most.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 CACHE_CHARS = 64
-BATCH_TEXTS, BATCH_BYTES = 2048, 8 << 20
+BATCH_TEXTS, BATCH_BYTES = 2048, 2 << 20
 #: Plain words encoded in one text.
 JOINED_WORDS = 1000
 #: Texts that hold these are left as they are: characters that may compose or have
@@ -33,6 +36,34 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Of the vocabulary's file, what makes pieces independent of their neighbours; fixed values.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def by_pieces(path: str) -> bool:
+    """Whether the vocabulary file at path encodes a text piece by piece, as Encoder takes it to."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    return (
+        (spec["normalizer"] or {}).get("normalizers") == NORMALIZERS
+        and (spec["pre_tokenizer"] or {}).get("pretokenizers") == SPLITTERS
+        and {k: model.get(k) for k in MODEL} == MODEL
+        and bool(model.get("end_of_word_suffix"))
+        and not spec.get("truncation")
+        and not spec.get("padding")
+        and all(re.fullmatch(r"<\|\S+", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in spec["added_tokens"])
+    )
+
+
 def _pieces(texts: pa.Array) -> pa.ListArray:
     """Parts of each text that the vocabulary encodes one by one.
 
@@ -48,8 +79,9 @@ def _pieces(texts: pa.Array) -> pa.ListArray:
 class Encoder:
     """Encodes texts by the vocabulary file at path, ending each with END_ID.
 
-    Words of Latin-1 letters alone go to the vocabulary's model at once, many to a
-    call. All other pieces take its whole chain of normalizer, splitter and model.
+    If by_pieces(path): words of Latin-1 letters alone go to the vocabulary's model at
+    once, many to a call; all other pieces take its whole chain of normalizer, splitter and
+    model. Else whole texts take the whole chain.
     """
 
     def __init__(self, path: str):
@@ -58,9 +90,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores already
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.full = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.full, self.cached = Tokenizer.from_file(path), by_pieces(path)
+        if not self.cached:
+            return
+        self.plain = Tokenizer(self.full.model)  # the same model, not a copy
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # Tokens that end a word, by id.
         vocabulary = self.full.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -113,6 +147,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, end of each text's ids)."""
+        if not self.cached:
+            got = [[*x.ids, END_ID] for x in self.full.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter(chain.from_iterable(got), np.int32, int(lengths.sum())), np.cumsum(lengths)
         if len(self.slots) > CACHE_PIECES or self.chars > CACHE_PIECES * CACHE_CHARS:
             self._forget()
         split = _pieces(texts)
@@ -132,13 +170,16 @@ class Encoder:
         return out, stops[1:] + np.arange(1, len(texts) + 1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(slice of a record batch, ids, ends) as Encoder.encode gives them, a bounded size of texts at a time. Null: empty."""
+    """(slice of a record batch, ids, ends) as Encoder.encode gives them, a bounded size of texts at a time. Null: empty.
+
+    A text is never cut, so one above BATCH_BYTES is a slice of its own.
+    """
     enc = encoder(path)
     for batch in batches:
         texts = pc.fill_null(batch.column(text), "")
@@ -149,3 +190,4 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") ->
             n = max(1, min(int(size), BATCH_TEXTS))
             yield batch.slice(at, n), *enc.encode(texts.slice(at, n))
             at += n
+    pa.default_memory_pool().release_unused()  # idle workers hold nothing for the next stage

@@ -30,6 +30,17 @@ def test_pieces_encode_as_whole_texts(whole):
         assert got.tolist() == whole(text), text
 
 
+def test_other_vocabularies_take_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.by_pieces(tokens.default_path()) and not tokens.by_pieces(path)
+    t = Tokenizer.from_file(path)
+    texts = ["One two.  Three", "", " \n a", "é" * 300]
+    ids, ends = tokens.Encoder(path).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+
+
 def test_token_files_against_whole_encoding(spark, tmp_path, whole):
     rows = documents(spark) + ODD
     out = str(tmp_path / "tokens")
