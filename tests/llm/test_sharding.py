@@ -1,3 +1,5 @@
+import heapq
+import random
 import zlib
 from collections import defaultdict
 
@@ -23,19 +25,37 @@ def test_shards(spark, rows):
     groups = defaultdict(int)
     for d, t in rows:
         groups[t or ""] += size(t)
-    best = max(sum(groups.values()) / 24, max(groups.values()))
-    assert max(load.values()) <= 4 / 3 * best + 1
-
-
-def test_bundles_keep_loads_even(spark):
-    rows = [(i, f"text {i} " * (i % 37)) for i in range(4000)]
-    got = sharding.shard_by_bytes(frame(spark, rows), detail=40).groupBy("shard").sum("size").collect()
-    loads = [r[1] for r in got]
-    assert len(loads) == 24 and max(loads) < 1.03 * min(loads)
-
-
-def test_schedule_is_longest_first():
-    assert sharding.schedule([(1, 5), (2, 4), (3, 3), (4, 3), (5, 3)], 2) == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
+    assert sorted(load[s] for s in range(24)) == sorted(plain(groups.values(), 24))
+
+
+def plain(sizes, shards):
+    """Loads by the rule itself, group by group."""
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, s = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, s))
+    return [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5, 24])
+def test_schedule_is_plain_longest_first(shards):
+    r = random.Random(shards)
+    for most in (1, 3, 40, 3000):
+        sizes = [(s, r.randint(1, most)) for s in r.sample(range(1, 500), 30)]
+        loads = [0] * shards
+        for size, got in sharding.schedule(sizes, shards):
+            loads = [load + size * n for load, n in zip(loads, got)]
+        assert loads == plain([s for s, n in sizes for _ in range(n)], shards)
+
+
+def test_many_groups_of_one_size_are_numbered_in_sections(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SECTION_ROWS", 100)
+    rows = [(i, f"text {i:05}") for i in range(3000)] + [(7, "same")] * 900
+    got = sharding.shard_by_bytes(frame(spark, rows), shards=4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 3900 and all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
 def test_empty_table(spark):
