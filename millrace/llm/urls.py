@@ -4,16 +4,21 @@ Level 1 of the cascade holds the listed hosts that occur, level 2 those unlisted
 hosts that pass level 1, level 3 the listed hosts that pass level 2, and so on until no
 false positive is left. Over the hosts it was built on, the cascade is exact; a
 url is judged by testing bits, without a join.
+
+A level is cut into blocks of 8 KB, and all bits of a key lie in one block. Levels are
+built by block on the executors, whatever their size. A level of up to MAX_FILTER_MB is sent
+to all of them; of a larger one each key meets its own block only.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import delete, saved
 
 #: (host, path, verdict): applies to the host, its subdomains and all paths that start so.
 RULES = (
@@ -31,8 +36,10 @@ LISTED_PREFIXES = ("", "www.", "blog.", "m.")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits a key on the first level, for 1 false positive in 2 ** HASHES there; later levels halve.
 HASHES = 8
-#: Above this size a level isn't sent to executors; a semi-join with the list decides instead.
-MAX_FILTER_MB = 64
+#: Bits of a block, at most.
+BLOCK_BITS = 1 << 16
+#: Above this size a level isn't sent to the executors as a whole.
+MAX_FILTER_MB = 32
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,75 +60,93 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return (null, null) if rule is None else (rule, verdict)
 
 
-def _bits(key: Column, level: int, hashes: int, n_bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(1000 * level + i)), F.lit(n_bits)) for i in range(hashes)]
-
-
-def _filter(keys: DataFrame, level: int, hashes: int, n_bits: int) -> DataFrame:
-    """One row: the level's bits as an array of longs."""
-    at = keys.select(F.explode(F.array(*_bits(F.col("key"), level, hashes, n_bits))).alias("bit"))
-    words = at.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    packed = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    return packed.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit((n_bits - 1) // 64).cast("long")), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("words"))
-
-
-def _passes(words: Column, key: Column, level: int, hashes: int, n_bits: int) -> Column:
-    out = None
-    for bit in _bits(key, level, hashes, n_bits):
-        word = F.element_at(words, (F.floor(bit / 64) + 1).cast("int"))
-        hit = F.getbit(word, (bit % 64).cast("int")) == 1
-        out = hit if out is None else out & hit
-    return out
+class _Level:
+    """One Bloom filter of a cascade over a column key: blocks of 64-bit words."""
+
+    def __init__(self, keys: DataFrame, n: int, depth: int, max_filter_mb: float):
+        self.depth, self.hashes = depth, HASHES if depth == 0 else 1
+        bits = 64 * max(1, -(-int(n * self.hashes * 1.4427) // 64))
+        self.blocks = -(-bits // BLOCK_BITS)
+        self.bits = bits if self.blocks == 1 else BLOCK_BITS
+        words = self.bits // 64
+        block, at = self._place(F.col("key"))
+        spots = keys.select(block.alias("block"), F.explode(F.array(*at)).alias("bit"))
+        spots = spots.select("block", F.expr("bit div 64").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("set"))
+        # Words without a bit are given too, so that a block is an array of all its words.
+        none = keys.sparkSession.range(self.blocks * words).select(F.expr(f"id div {words}").alias("block"), F.expr(f"id % {words}").alias("word"), F.lit(0).cast("long").alias("set"))
+        full = spots.unionByName(none).groupBy("block", "word").agg(F.bit_or("set").alias("set"))
+        table = full.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "set"))), lambda x: x["set"]).alias("words"))
+        self.table = saved(table, "url-level")
+        self.sent = bits <= max_filter_mb * 8e6
+        if self.sent:
+            whole = self.table.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "words"))), lambda x: x["words"]).alias("blocks"))
+            whole, spent = saved(whole, "url-level"), self.table
+            self.table = whole
+            delete(spent)
+
+    def _place(self, key: Column) -> tuple[Column, list[Column]]:
+        """A key's block, and its bits there."""
+        hashed = lambda i: F.xxhash64(key, F.lit(1000 * self.depth + i))
+        return F.pmod(hashed(999), F.lit(self.blocks)), [F.pmod(hashed(i), F.lit(self.bits)) for i in range(self.hashes)]
+
+    def passes(self, df: DataFrame, key: str, out: str) -> DataFrame:
+        """df with a boolean column out: whether the filter passes the key. A null key doesn't pass."""
+        block, at = self._place(F.col(key))
+        if self.sent:
+            words = F.get(self.table.scalar(), block.cast("int"))
+        else:
+            own = f"block-{uuid.uuid4().hex}"
+            df = df.withColumn(own, block).join(self.table.select(F.col("block").alias(own), F.col("words").alias(f"{own}-words")), own, "left")
+            words = F.col(f"{own}-words")
+        hit = F.col(key).isNotNull()
+        for bit in at:
+            hit = hit & (F.getbit(F.get(words, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1)
+        df = df.withColumn(out, F.coalesce(hit, F.lit(False)))
+        return df if self.sent else df.drop(own, f"{own}-words")
 
 
 class Cascade:
     """Exact membership of the keys of universe in listed, both DataFrames with a column key.
 
-    Null keys are in neither. Repeated keys count once. levels: (words, hashes,
-    bits) of each level, words a one-row DataFrame. With a level above max_filter_mb
-    levels is None, and contains() works by a semi-join.
+    Null keys are in neither. Repeated keys count once. An empty universe or list gives a
+    cascade without levels, which holds nothing.
     """
 
     def __init__(self, universe: DataFrame, listed: DataFrame, max_filter_mb: float = MAX_FILTER_MB):
         tagged = universe.select("key", F.lit(0).alias("on"), F.lit(1).alias("seen"))
         tagged = tagged.unionByName(listed.select("key", F.lit(1).alias("on"), F.lit(0).alias("seen"))).where("key is not null")
         keys = tagged.groupBy("key").agg(F.max("on").alias("on"), F.max("seen").alias("seen")).where("seen = 1")
-        self.keys = saved(keys.select("key", "on"), "url-keys")
-        self.levels: list[tuple[DataFrame, int, int]] | None = []
-        inside = self.keys.where("on = 1").select("key")
-        outside = self.keys.where("on = 0").select("key")
-        level = 0
-        while (n := inside.count()) > 0:
-            hashes = HASHES if level == 0 else 1
-            n_bits = 64 * max(1, -(-int(n * hashes * 1.4427) // 64))
-            if n_bits > max_filter_mb * 8e6:
-                self.levels = None
-                return
-            words = saved(_filter(inside, level, hashes, n_bits), "url-level")
-            self.levels.append((words, hashes, n_bits))
+        keys = saved(keys.select("key", "on"), "url-keys", n=F.count_if(F.col("on") == 1))
+        self.levels: list[_Level] = []
+        inside, outside, n, spent = keys.where("on = 1").select("key"), keys.where("on = 0").select("key"), keys.told["n"], [keys]
+        while n:
+            level = _Level(inside, n, len(self.levels), max_filter_mb)
+            self.levels.append(level)
             # A key that its own level passes belongs to it or is the next level's.
-            inside, outside = outside.where(_passes(words.scalar(), F.col("key"), level, hashes, n_bits)), inside
-            level += 1
+            passed = saved(level.passes(outside, "key", "passes").where("passes").select("key"), "url-keys", n=F.count(F.lit(1)))
+            inside, outside, n = passed, inside, passed.told["n"]
+            spent.append(passed)
+        delete(*spent)
 
     def contains(self, df: DataFrame, key: str, out: str) -> DataFrame:
         """df with a boolean column out; key must be one of the universe's or null, which gives false."""
-        if self.levels is None:
-            own = self.keys.where("on = 1").select(F.col("key").alias(key), F.lit(True).alias(out))
-            return df.join(own, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+        passed = [f"passes-{uuid.uuid4().hex}" for _ in self.levels]
+        for level, name in zip(self.levels, passed):
+            df = level.passes(df, key, name)
         # Member if the first level that it fails is of even number, counted from 0 as level 1.
         found = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(range(len(self.levels))):
-            words, hashes, n_bits = self.levels[level]
-            found = F.when(_passes(words.scalar(), F.col(key), level, hashes, n_bits), found).otherwise(F.lit(level % 2 == 1))
-        return df.withColumn(out, F.coalesce(found, F.lit(False)))
+        for depth, name in reversed(list(enumerate(passed))):
+            found = F.when(F.col(name), found).otherwise(F.lit(depth % 2 == 1))
+        return df.withColumn(out, F.col(key).isNotNull() & found).drop(*passed)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
     """pages(page_id, url) with host, path, rule, listed, verdict. listed: a DataFrame with a column key of hosts.
 
     A rule decides first; else listed hosts are blocked and others allowed. Null
-    urls have an empty host, which no rule fits. Repeated rows are judged alike;
-    other columns are ignored.
+    urls have an empty host, which no rule fits. Of equally long rules the one with the longer
+    host decides. Repeated rows are judged alike; long urls are judged whole; an empty table gives
+    no rows; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))

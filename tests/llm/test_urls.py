@@ -8,14 +8,21 @@ def test_cascade_is_exact(spark):
     universe = [f"host{i}" for i in range(5000)] * 2
     listed = [f"host{i}" for i in r.sample(range(6000), 700)] * 2
     keys = lambda x: spark.createDataFrame([(k,) for k in x] + [(None,)], "key string")
-    for limit in (64, 0):  # by filters, and by the join beyond their bound
+    for limit in (32, 0):  # sent whole, and block by block
         cascade = urls.Cascade(keys(universe), keys(listed), limit)
-        assert (cascade.levels is None) == (limit == 0)
+        assert all(x.sent == (limit > 0) for x in cascade.levels)
         got = cascade.contains(keys(universe), "key", "found").collect()
         assert len(got) == 10001 and all(x.found == (x.key in set(listed)) for x in got)
     assert len(urls.Cascade(keys(universe), keys(listed)).levels) > 1
 
 
+def test_many_keys_and_blocks(spark):
+    universe = spark.range(400_000).selectExpr("concat('host', id) AS key", "id % 3 = 0 AS want")
+    cascade = urls.Cascade(universe, universe.where("want").select("key"))
+    assert len(cascade.levels) > 5 and cascade.levels[0].blocks > 20
+    assert cascade.contains(universe, "key", "found").where("found <> want").count() == 0
+
+
 def test_nothing_listed_or_seen(spark):
     some = spark.createDataFrame([("a",)], "key string")
     none = some.limit(0)
