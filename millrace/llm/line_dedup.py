@@ -19,13 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import delete, let, saved, side
+from .store import delete, fresh, let, saved, side
 
-#: dedup_lines leaves shorter lines as they are, unless told otherwise; dedup_every_line doesn't.
-MIN_WORDS = 4
-#: Lines of fewer words aren't near within a word: it is too much of them.
+#: Lines of as many words are near within a word; of fewer, it is too much of them.
 NEAR_MIN_WORDS = 8
-#: dedup_every_line: lines of up to NEAR_MIN_WORDS words are near within a character if both have as many of these.
+#: Lines of up to NEAR_MIN_WORDS words are near within a character if both have as many of these.
 NEAR_MIN_CHARS = 8
 
 
@@ -39,9 +37,9 @@ def _order(doc_id: Column, th: Column, pos: Column) -> Column:
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), th.alias("th"), pos.alias("pos"))
 
 
-def _keep(spent: list[DataFrame], df: DataFrame, name: str) -> DataFrame:
+def _keep(spent: list[DataFrame], df: DataFrame, name: str, sized: bool = False) -> DataFrame:
     """df saved, and noted among the tables to delete."""
-    spent.append(saved(df, name))
+    spent.append(saved(df, name, sized))
     return spent[-1]
 
 
@@ -57,10 +55,8 @@ def _halves(words: Column) -> Column:
     return F.array(*keys)
 
 
-def _by_chars(words: Column, near_min_words: int, near_min_chars: int | None) -> Column:
+def _by_chars(words: Column, near_min_words: int, near_min_chars: int) -> Column:
     """Whether a line is compared by characters: also at near_min_words, which a space less leaves below."""
-    if near_min_chars is None:
-        return F.lit(False)
     return (F.size(words) <= near_min_words) & (F.length(F.array_join(words, " ")) >= near_min_chars)
 
 
@@ -75,28 +71,27 @@ def _char_halves(line: Column) -> Column:
     return F.array(*keys)
 
 
-def _occurrences(docs: DataFrame, min_words: int, near_min_words: int, near_min_chars: int | None) -> DataFrame:
-    """A narrow row for each line of min_words at least: where it is, its 128-bit hash and its halves."""
+def _occurrences(docs: DataFrame, near_min_words: int, near_min_chars: int) -> DataFrame:
+    """A narrow row for each line that has a word: where it is, its 128-bit hash and its halves."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "th", "pos", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    rows = rows.select("doc_id", "th", "pos", _words(F.col("line")).alias("words")).where("size(words) > 0")
     words, none = F.col("words"), F.array().cast("array<bigint>")
-    halves = F.when(F.size(words) >= near_min_words, _halves(words))
-    if near_min_chars is not None:
-        chars = F.when(_by_chars(words, near_min_words, near_min_chars), _char_halves(F.array_join(words, " ")))
-        halves = F.when(F.size(words) > near_min_words, halves).otherwise(F.concat(F.coalesce(halves, none), F.coalesce(chars, none)))
+    by_words = F.when(F.size(words) >= near_min_words, _halves(words))
+    by_chars = F.when(_by_chars(words, near_min_words, near_min_chars), _char_halves(F.array_join(words, " ")))
+    both = F.concat(F.coalesce(by_words, none), F.coalesce(by_chars, none))
     return rows.select(
         _order(F.col("doc_id"), F.col("th"), F.col("pos")).alias("at"),
         F.xxhash64("words").alias("h1"),
         F.xxhash64(F.lit(1), "words").alias("h2"),
-        halves.alias("halves"),
+        F.when(F.size(words) > near_min_words, by_words).otherwise(both).alias("halves"),
     )
 
 
 def _lines_at(docs: DataFrame, places: DataFrame, spent: list) -> DataFrame:
     """places (saved, of at) with the words of the line there."""
     text = F.coalesce("text", F.lit(""))
-    of_doc = _keep(spent, places.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.pos").alias("want")), "lines-wanted")
+    of_doc = _keep(spent, places.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.pos").alias("want")), "lines-wanted", sized=True)
     own = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
     found = own.join(side(of_doc), (F.col("t") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id")))
     lines = found.select("doc_id", "th", F.split("text", "\n").alias("lines"), F.explode("want").alias("pos"))
@@ -135,7 +130,7 @@ def _spellings(units: Column, form: Column) -> Column:
     return let(places, walk)
 
 
-def near_earlier(docs: DataFrame, first: DataFrame, spent: list, near_min_words: int, near_min_chars: int | None) -> DataFrame:
+def near_earlier(docs: DataFrame, first: DataFrame, spent: list, near_min_words: int, near_min_chars: int) -> DataFrame:
     """at of those distinct lines (first: at, halves of each) that have a near line before them."""
     keyed = first.where("halves is not null").select("at", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
@@ -146,9 +141,7 @@ def near_earlier(docs: DataFrame, first: DataFrame, spent: list, near_min_words:
     by_words = lambda words: F.size(words) >= near_min_words
     by_chars = lambda words: _by_chars(words, near_min_words, near_min_chars)
     form = lambda name, units: F.struct(F.lit(name).alias("form"), units.alias("units"))
-    forms = F.array(F.when(by_words("words"), form("words", F.col("words"))))
-    if near_min_chars is not None:
-        forms = F.array_append(forms, F.when(by_chars("words"), form("chars", chars("words"))))
+    forms = F.array(F.when(by_words("words"), form("words", F.col("words"))), F.when(by_chars("words"), form("chars", chars("words"))))
     units = lines.select("id", F.explode(F.array_compact(forms)).alias("f"))
     rests = units.select("id", F.size("f.units").alias("n"), F.explode(F.array(_spellings(F.col("f.units"), F.col("f.form")))).alias("s")).select("id", "n", "s.own", "s.rests")
     kind = lambda k, key: F.struct(F.lit(k).alias("kind"), key.alias("key"))
@@ -166,66 +159,65 @@ def near_earlier(docs: DataFrame, first: DataFrame, spent: list, near_min_words:
     texts = lambda x, *more: lines.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"), *more)
     a, b = F.col("id_words"), F.col("by_words")
     near = by_words(a) & by_words(b) & within_one_edit(a, b)
-    if near_min_chars is not None:
-        near = near | (by_chars(a) & by_chars(b) & within_one_edit(chars(a), chars(b)))
+    near = near | (by_chars(a) & by_chars(b) & within_one_edit(chars(a), chars(b)))
     verified = pairs.join(texts("id", "at"), "id").join(texts("by"), "by").where(near)
     return verified.select("at").distinct()
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS, near_min_chars: int | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, near_min_words: int = NEAR_MIN_WORDS, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
     """doc_id, th (hash of the text), removed (line numbers from 0) of the documents that lose lines: a saved table."""
     spent: list[DataFrame] = []
-    near_min_words = max(near_min_words, 3)  # with fewer, a half would be empty
-    if near_min_chars is not None:
-        near_min_chars = max(near_min_chars, 4)  # as above
-    lines = _keep(spent, _occurrences(docs, min_words, near_min_words, near_min_chars), "lines")
+    near_min_words, near_min_chars = max(near_min_words, 3), max(near_min_chars, 4)  # with fewer, a half would be empty
+    lines = _keep(spent, _occurrences(docs, near_min_words, near_min_chars), "lines")
     first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     first = _keep(spent, first, "first-lines")
-    copies = _keep(spent, first.where("n > 1").select("h1", "h2", F.col("at").alias("kept")), "copied-lines")
+    copies = _keep(spent, first.where("n > 1").select("h1", "h2", F.col("at").alias("kept")), "copied-lines", sized=True)
     again = lines.join(side(copies), ["h1", "h2"]).where("at > kept").select("at")
     near = near_earlier(docs, first.select("at", "halves"), spent, near_min_words, near_min_chars)
-    gone = _keep(spent, first.join(near, "at", "left_semi").select("h1", "h2"), "near-lines")
+    gone = _keep(spent, first.join(near, "at", "left_semi").select("h1", "h2"), "near-lines", sized=True)
     edited = lines.join(side(gone), ["h1", "h2"], "left_semi").select("at")
     both = again.unionByName(edited)
-    out = saved(both.groupBy("at.doc_id", "at.th").agg(F.sort_array(F.collect_set("at.pos")).alias("removed")), "removed-lines")
+    out = saved(both.groupBy("at.doc_id", "at.th").agg(F.sort_array(F.collect_set("at.pos")).alias("removed")), "removed-lines", sized=True)
     delete(*spent)
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS, near_min_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_min_words: int = NEAR_MIN_WORDS, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
     """docs with text less its removed lines, and new columns lines_total, lines_removed (array of line numbers).
 
-    A line is removed if the same line, or a near one, stands earlier in the table:
-    by doc_id, then line number. What is near an earlier line goes even if that line
+    A line that has a word is removed if the same line, or a near one, stands earlier in the table:
+    by doc_id, then line number. Near within a word are lines of near_min_words words at least;
+    within a character, white space between words counted as one, lines of at most so many words
+    and of near_min_chars characters at least, which also serves scripts without spaces. What
+    is near an earlier line goes even if that line
     goes too. White space within lines doesn't count. Null text stays null and has
-    no lines. Rows equal in doc_id and text count as one and keep the same lines.
-    A column of docs named lines_total or lines_removed is replaced. With near_min_chars,
-    lines of at most near_min_words words and that many characters at least, white space
-    between words counted as one, are also near within a character.
+    no lines; an empty text has one, which stays. A text's lines are all looked at, however many.
+    Rows equal in doc_id and text count as one and keep the same lines; rows that share
+    a doc_id alone follow by a hash of the text; null doc_ids come last. An empty table gives no rows.
+    A column of docs named lines_total or lines_removed is replaced.
     """
-    gone = removed_lines(docs, min_words, near_min_words, near_min_chars).withColumnsRenamed({"doc_id": "_d", "th": "_t", "removed": "_r"})
+    docs = docs.drop("lines_total", "lines_removed")
+    d, t, r = fresh(docs, "d", "t", "r")
+    gone = removed_lines(docs.select("doc_id", "text"), near_min_words, near_min_chars)
+    gone = side(gone).select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("removed").alias(r))
     text = F.coalesce("text", F.lit(""))
+
     def rest(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_r"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(r))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    joined = docs.drop("lines_total", "lines_removed").join(side(gone), (F.xxhash64(text) == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    joined = docs.join(gone, (F.xxhash64(text) == F.col(t)) & F.col("doc_id").eqNullSafe(F.col(d)), "left")
     return (
         joined.withColumn("lines_total", F.when(F.col("text").isNull(), 0).otherwise(n_lines))
-        .withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest)))
-        .withColumn("lines_removed", F.coalesce("_r", F.array().cast("array<int>")))
-        .drop("_d", "_t", "_r")
+        .withColumn("text", F.when(F.col(r).isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest)))
+        .withColumn("lines_removed", F.coalesce(r, F.array().cast("array<int>")))
+        .drop(d, t, r)
     )
 
 
-def dedup_every_line(docs: DataFrame) -> DataFrame:
-    """dedup_lines for each line that has a word: exactly, and within a word, or in lines of few words within a character."""
-    return dedup_lines(docs, 1, NEAR_MIN_WORDS, NEAR_MIN_CHARS)
-
-
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_every_line(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(
         "doc_id",
         F.col("lines_total").alias("n_lines"),
@@ -239,15 +231,17 @@ ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 o AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM d),
 x AS (SELECT doc_id, pos, array_to_string(w, ' ') AS t, w, {'d': doc_id, 'p': pos} AS place
-  FROM (SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM o) WHERE len(w) >= 4),
+  FROM (SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM o) WHERE len(w) > 0),
 f AS (SELECT t, any_value(w) AS w, min(place) AS place FROM x GROUP BY t),
-v AS (SELECT t, place, len(w) AS n, i, array_to_string(w[1:i - 1], ' ') || ' | ' || array_to_string(w[i + 1:], ' ') AS around,
-    array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 8)),
-g AS (SELECT n, i, around, min(place) AS least FROM v GROUP BY ALL),
+u AS (SELECT t, place, 'w' AS kind, w AS units FROM f WHERE len(w) >= 8
+  UNION ALL SELECT t, place, 'c', string_split(t, '') FROM f WHERE len(w) <= 8 AND length(t) >= 8),
+v AS (SELECT t, place, kind, len(units) AS n, i, [units[1:i - 1], units[i + 1:]] AS around, units[1:i - 1] || units[i + 1:] AS rest
+  FROM (SELECT *, unnest(range(1, len(units) + 1)) AS i FROM u)),
+g AS (SELECT kind, n, i, around, min(place) AS least FROM v GROUP BY ALL),
 near AS (
-  SELECT v.t FROM v JOIN g USING (n, i, around) WHERE least < place
-  UNION SELECT v.t FROM v JOIN f ON f.t = v.rest AND len(f.w) >= 8 WHERE f.place < v.place
-  UNION SELECT f.t FROM v JOIN f ON f.t = v.rest AND len(f.w) >= 8 WHERE v.place < f.place
+  SELECT v.t FROM v JOIN g USING (kind, n, i, around) WHERE least < place
+  UNION SELECT v.t FROM v JOIN u ON u.kind = v.kind AND u.units = v.rest WHERE u.place < v.place
+  UNION SELECT u.t FROM v JOIN u ON u.kind = v.kind AND u.units = v.rest WHERE v.place < u.place
 ), gone AS (
   SELECT x.doc_id, x.pos FROM x JOIN f USING (t) WHERE x.place > f.place OR t IN (SELECT t FROM near)
 ), r AS (SELECT doc_id, list_sort(list(pos)) AS removed FROM gone GROUP BY doc_id)

@@ -87,6 +87,16 @@ def side(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_MB * 1e6 else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores before it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for a row; body's lambdas would compute it for each element."""
     return F.transform(F.array(value), body)[0]
