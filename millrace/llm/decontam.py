@@ -57,8 +57,9 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), item_id, n_shingles (the item's), n_shared: items contained in docs(doc_id, text).
 
     Null and empty texts contain nothing and are contained nowhere. Rows equal in
-    doc_id and text count once, as do equal items of one id. Other columns are
-    ignored.
+    doc_id and text count once, as do equal items of one id; of unlike items of one id the largest
+    counts are given. Long texts are searched whole. Without documents or items there are no rows.
+    Other columns are ignored.
     """
     items = saved(sketch_items(items).distinct(), "items")
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # SHINGLE_WORDS values at most
@@ -66,11 +67,11 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not widths:
         return own.limit(0).select("doc_id", "th", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared"))
     rows = own.select("doc_id", "th", _words(F.col("text")).alias("words"))
-    samples = saved(items.select("item_id", "n", "need", F.explode("sample").alias("shingle")), "item-samples")
+    samples = saved(items.select("item_id", "n", "need", F.explode("sample").alias("shingle")), "item-samples", sized=True)
     hits = rows.select("doc_id", "th", F.explode(_shingles(F.col("words"), widths)).alias("shingle")).join(side(samples), "shingle")
     counted = hits.groupBy("doc_id", "th", "item_id", "n", "need").agg(F.count_distinct("shingle").alias("held"))
     found = saved(counted.where("held >= need").select("doc_id", "th", "item_id", "n"), "item-candidates")
-    wanted = saved(found.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct(), "item-documents")
+    wanted = saved(found.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct(), "item-documents", sized=True)
     texts = own.join(side(wanted), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("d", "t", "text")
     full = texts.dropDuplicates(["d", "t"]).select("d", "t", _words(F.col("text")).alias("words"))
     full = full.select("d", "t", _shingles(F.col("words"), widths).alias("have"))

@@ -248,16 +248,17 @@ def _links(members: DataFrame, traits: DataFrame, full: DataFrame, percent: int)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, component_id, kept for each row of docs(doc_id, text).
+    """doc_id, th (hash of the text), n_shingles, component_id, kept, first for each row of docs(doc_id, text).
 
     component_id is the least doc_id that links can reach; kept: it is the row's own.
-    Null, empty and blank texts have no shingles and link with nothing. Null doc_ids
+    first: of the rows kept, those with the text of least hash; repeated rows are all first.
+    Null, empty and blank texts have no shingles and link with nothing; they are first. Null doc_ids
     count only if all of a component are null. Rows that share a doc_id are all kept
     or all not. A text is one set however long it is. An empty table gives no rows.
     Other columns are ignored.
     """
     rows = saved(_own(docs).mapInArrow(partial(_sketched, size=size), "doc_id long, th long, n long, sid binary, regs binary"), "near-rows")
-    sets = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.min("doc_id").alias("least"), F.first("regs").alias("regs"))
+    sets = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("of"), F.first("regs").alias("regs"))
     sets = saved(sets.withColumn("id", F.monotonically_increasing_id()), "near-sets")
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = sets.select("id", F.explode(bands).alias("key"))
@@ -277,14 +278,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     comps = _links(members, traits, full, percent)
     delete(traits, full)
 
-    linked = sets.join(side(comps), "id").groupBy("comp").agg(F.min("least").alias("first"))
-    firsts = saved(linked, "near-firsts", sized=True)
+    firsts = saved(sets.join(side(comps), "id").groupBy("comp").agg(F.min("of").alias("first")), "near-firsts", sized=True)
     classes = sets.join(side(comps), "id", "left").join(side(firsts), "comp", "left")
-    classes = saved(classes.select("sid", F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("first")).alias("component_id")), "near-classes", sized=True)
+    classes = saved(classes.select("sid", F.coalesce("first", "of").alias("first")), "near-classes", sized=True)
     delete(sets, comps, firsts)
     out = rows.select("doc_id", "th", "n", "sid").join(side(classes), "sid", "left")
-    component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    first = F.col("sid").isNull() | (kept & (F.col("th") == F.col("first.th")))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), first.alias("first"))
 
 
 def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
