@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import let
+from .store import let, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
@@ -136,8 +136,8 @@ def ablations(rows: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return rows.select(
+    rows = saved(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality-ledger")
+    return apply_policy(rows).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -146,10 +146,20 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_repeat_words",
         (F.col("failed").bitwiseAND(F.lit(mask(BASE_RULES))) != 0).alias("base_failed"),
         "kept",
+        "n_lines",
+        "n_stutters",
+        "failed",
     )
 
 
-ORACLE_SQL = r"""
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """policy, rule, failed, failed_alone of every policy, all from one stored ledger."""
+    rows = saved(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("failed"), "quality-ledger")
+    each = [ablations(rows, policy).select(F.lit(policy).alias("policy"), "rule", "failed", "failed_alone") for policy in POLICIES]
+    return each[0].unionByName(each[1])
+
+
+_MEASURED_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
@@ -166,14 +176,25 @@ WITH t AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM d) GROUP BY doc_id
 ), m AS (
   SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l) AS n_lines,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    len([i FOR i IN range(2, len(w) + 1) IF w[i] = w[i - 1]]) AS n_stutters
+    len([i FOR i IN range(2, len(w) + 1) IF w[i] = w[i - 1]])::BIGINT AS n_stutters
   FROM t LEFT JOIN p USING (doc_id)
+), b AS (
+  SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars > 25 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN 10 * n_stutters > 3 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
-    OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 10 * n_stutters > 3 * n_words) AS kept
-FROM m
+"""
+
+ORACLE_SQL = f"""{_MEASURED_SQL}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, n_lines, n_stutters, failed FROM b
+"""
+
+ABLATIONS_SQL = f"""{_MEASURED_SQL}
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS failed, count(*) FILTER (failed & mask = bit) AS failed_alone
+FROM b, (VALUES ('v1', 3, 'few_words', 1), ('v1', 3, 'repeated_windows', 2), ('v2', 127, 'few_words', 1), ('v2', 127, 'repeated_windows', 2), ('v2', 127, 'symbols', 4),
+  ('v2', 127, 'repeated_lines', 8), ('v2', 127, 'long_words', 16), ('v2', 127, 'short_words', 32), ('v2', 127, 'stutter', 64)) AS r(policy, mask, rule, bit)
+GROUP BY ALL
 """

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "quality_ablations": quality.quality_ablations,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_line_dedup": line_dedup.ORACLE_SQL,
     "op3_url_cascade": urls.ORACLE_SQL,
     "op4_quality_ledger": quality.ORACLE_SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
 }
