@@ -19,17 +19,19 @@ def adler32(data: pd.Series) -> pd.Series:
     return data.map(zlib.adler32, na_action="ignore").astype("Int64")
 
 
-@F.pandas_udf(T.StringType())
-def base_letters(text: pd.Series) -> pd.Series:
-    """Characters beyond U+00FF replaced by the base letter that they decompose to, where there is one."""
+def _base_letters() -> tuple[str, str]:
+    """Characters beyond U+00FF, and the letters up to there that they decompose to."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0x100, 0x3000))]
+    pairs = [(c, first) for c, first in pairs if ord(first) < 0x100]
+    return "".join(c for c, _ in pairs), "".join(first for _, first in pairs)
+
 
-    def plain(c: str) -> str:
-        if ord(c) < 0x100:
-            return c
-        first = unicodedata.normalize("NFD", c)[0]
-        return first if ord(first) < 0x100 else c
+ACCENTED, BASE_LETTERS = _base_letters()
 
-    return text.map(lambda x: "".join(map(plain, x)), na_action="ignore")
+
+def base_letters(text: Column) -> Column:
+    """Characters beyond U+00FF replaced by the base letter that they decompose to, where there is one."""
+    return F.translate(text, ACCENTED, BASE_LETTERS)
 
 
 def compression(text: Column) -> Column:

@@ -9,12 +9,28 @@ from pyspark.sql import functions as F
 
 KIB, MIB = 1 << 10, 1 << 20
 SECTOR = 32 * KIB
-#: Size units: lower case in powers of 1000, upper case of 1024, s for sectors.
-UNITS = {"b": 1, "k": 10**3, "m": 10**6, "g": 10**9, "t": 10**12, "B": 1, "K": KIB, "M": MIB, "G": KIB**3, "T": KIB**4, "s": SECTOR, "S": SECTOR}
-#: Date formats in the order tried.
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyyMMdd HHmmss", "yyyyMMdd HHmm", "yyyyMMdd", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy")
+PIB, EIB = 1 << 50, 1 << 60
+#: Size units, fixed values: lower case in powers of 1000, upper case of 1024; b and c bytes, s sectors, u and w discs of either kind.
+UNITS = {
+    "b": 1, "c": 1, "k": 10**3, "m": 10**6, "g": 10**9, "t": 10**12, "p": 10**15, "e": 10**18,
+    "K": KIB, "M": MIB, "G": KIB**3, "T": KIB**4, "P": PIB, "E": EIB,
+    "s": SECTOR, "S": SECTOR, "u": 1459978240, "U": 1459978240, "w": 143432 * SECTOR, "W": 143432 * SECTOR,
+}
+#: Date formats in the order tried, fixed values.
+DATE_FORMATS = (
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HHmmss", "yyyy-MM-dd HHmm", "yyyy-MM-dd HH", "yyyy-MM-dd",
+    "yyyyMMdd HHmmss", "yyyyMMdd HHmm", "yyyyMMdd HH", "yyyyMMdd",
+)
 TIME_FORMATS = {"date": "yyyy-MM-dd", "minute": "yyyy-MM-dd HH:mm", "second": "yyyy-MM-dd HH:mm:ss"}
-REGIONS = {"D": "German", "E": "USA", "F": "French", "I": "Italian", "J": "Japan", "K": "Korea", "P": "Europe", "S": "Spanish"}
+#: Region codes, fixed values: name and four letters.
+REGIONS = {
+    "A": ("All", "ALL"), "B": ("-?-", "-?-"), "C": ("Chinese", "CHIN"), "D": ("German", "GERM"), "E": ("NTSC/USA", "USA"), "F": ("French", "FREN"),
+    "G": ("-?-", "-?-"), "H": ("Netherlands", "NL"), "I": ("Italian", "ITAL"), "J": ("Japan", "JAPA"), "K": ("Korea", "KORE"), "L": ("Japan->PAL", "J>PL"),
+    "M": ("America->PAL", "A>PL"), "N": ("Japan->NTSC", "J>US"), "O": ("-?-", "-?-"), "P": ("PAL", "PAL"), "Q": ("Korea (japanese)", "KO/J"), "R": ("Russia", "RUS"),
+    "S": ("Spanish", "SPAN"), "T": ("Korea (english)", "KO/E"), "U": ("Australia", "AUS"), "V": ("Scandinavian", "SCAN"), "W": ("Taiwan", "TAIW"), "X": ("Almost Europe", "EURO"),
+    "Y": ("Almost Europe", "EURO"), "Z": ("PAL or US", "ANY"),
+}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def half_up(value: Column, unit: int) -> Column:
@@ -23,31 +39,51 @@ def half_up(value: Column, unit: int) -> Column:
 
 
 def parse_size(text: Column, first: int = 1, later: int = 1) -> Column:
-    """Bytes of a sum of terms `number[/number][unit]`; first and later are the factors of terms without a unit."""
-    terms = F.regexp_extract_all(text, F.lit(r"[0-9.]+(?:/[0-9.]+)?[a-zA-Z]?"), F.lit(0))
-    unit = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    """Bytes of a text of terms `number[/number][unit]` joined by + or -, cut to a whole number; null if negative or not such a text.
+
+    first and later are the factors of terms without a unit. A sign at the end adds, or takes off, later.
+    """
+    number = r"[0-9]+(?:\.[0-9]*)?|\.[0-9]+"
+    term = rf"(?:{number})(?:/(?:{number}))?[{''.join(UNITS)}]?"
+    fits = text.rlike(rf"^{term}(?:\s*[+-]\s*{term})*(?:\s*[+-])?\s*$")
+    terms = F.regexp_extract_all(text, F.lit(rf"(?:^|[+-])\s*(?:{term})|[+-]\s*$"), F.lit(0))
+    unit = F.create_map(*[F.lit(x) for k, v in UNITS.items() for x in (k, float(v))])
 
     def value(term: Column, at: Column) -> Column:
-        number = lambda g: F.try_to_number(F.regexp_extract(term, r"^([0-9.]+)(?:/([0-9.]+))?", g), F.lit("999999999999.999999")).cast("double")
-        factor = F.coalesce(F.try_element_at(unit, F.regexp_extract(term, "([a-zA-Z])$", 1)), F.when(at == 0, first).otherwise(later))
-        return number(1) / F.coalesce(number(2), F.lit(1.0)) * factor
+        part = lambda g: F.regexp_extract(term, rf"({number})(?:/({number}))?", g).try_cast("double")
+        factor = F.coalesce(F.try_element_at(unit, F.regexp_extract(term, "([a-zA-Z])\\s*$", 1)), F.when(at == 0, float(first)).otherwise(float(later)))
+        share = F.coalesce(F.when(part(2) > 0, part(2)), F.lit(1.0))
+        return F.coalesce(part(1) / share, F.lit(1.0)) * factor * F.when(term.startswith("-"), -1.0).otherwise(1.0)
 
     total = F.aggregate(F.transform(terms, value), F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(terms) > 0, F.round(total).cast("long"))
-
-
-def print_size(size: Column) -> Column:
-    """A size in the largest binary unit that leaves at most four digits, rounded half up."""
-    out = F.lit(None).cast("string")
-    for name, unit in (("TiB", KIB**4), ("GiB", KIB**3), ("MiB", MIB), ("KiB", KIB), ("B", 1)):
-        n = half_up(size, unit)
-        out = F.when(n <= 9999, F.concat_ws(" ", n.cast("string"), F.lit(name))).otherwise(out)
-    return F.when(size.isNotNull(), out)
+    return F.when(fits & (total >= 0), F.floor(total).cast("long"))
+
+
+def print_size(size: Column, base: int = 1024) -> Column:
+    """A size in units of base 1024 or 1000: bytes while under 10 of the next unit, then the least unit with at most four digits.
+
+    A multiple of the base is given in the next unit. Giga and peta are used for what rounds to under 10, or over 9999, of the next and last.
+    """
+    names = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB") if base == 1024 else ("B", "kB", "MB", "GB", "TB", "PB", "EB")
+    whole = lambda value, unit: F.floor((value.cast("decimal(38,0)") + F.lit(unit // 2)) / F.lit(unit).cast("decimal(20,0)")).cast("long")
+    k, m = whole(size, base), whole(size, base**2)
+    down = F.floor(size.cast("decimal(38,0)") / F.lit(base**2).cast("decimal(20,0)")).cast("long")  # larger sizes are rounded from whole megas
+    t, p = whole(down, base**2), whole(down, base**3)
+    n_unit = (
+        F.when(m >= 10_000, F.when(t < 10, F.struct(whole(down, base).alias("n"), F.lit(3).alias("u"))).when(t < 10_000, F.struct(t.alias("n"), F.lit(4).alias("u"))).when(p < 10_000, F.struct(p.alias("n"), F.lit(5).alias("u"))).otherwise(F.struct(whole(down, base**4).alias("n"), F.lit(6).alias("u"))))
+        .when(k < 10, F.struct(size.alias("n"), F.lit(0).alias("u")))
+        .when(k < 10_000, F.struct(k.alias("n"), F.lit(1).alias("u")))
+        .otherwise(F.struct(m.alias("n"), F.lit(2).alias("u")))
+    )
+    up = (n_unit["n"] > 0) & (n_unit["n"] % base == 0) & (n_unit["u"] < 6)
+    n, u = F.when(up, F.floor(n_unit["n"] / base).cast("long")).otherwise(n_unit["n"]), n_unit["u"] + up.cast("int")
+    return F.when(size.isNotNull(), F.concat(n.cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, names)), u + 1)))
 
 
 def parse_time(text: Column) -> Column:
-    """The first of DATE_FORMATS that fits, else seconds since 1970, else null."""
-    seconds = F.when(text.rlike("^[0-9]+$") & (F.length(text) != 8), F.timestamp_seconds(text.try_cast("long")))
+    """The first of DATE_FORMATS that fits, else seconds since 1970, else null; blanks at the end don't count."""
+    text = F.regexp_replace(text, r"[ \t]+$", "")
+    seconds = F.when(text.rlike("^[0-9]{1,15}$"), F.timestamp_seconds(text.try_cast("long")))
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS], seconds)
 
 
@@ -72,16 +108,18 @@ def fill_template(template: str, fields: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit(template[last:]))
 
 
-def clean_name(name: Column) -> Column:
-    """A file name: a colon becomes a dash between spaces, runs of other odd characters one space."""
-    dashed = F.regexp_replace(name, r"\s*:\s*", " - ")
-    return F.rtrim(F.regexp_replace(dashed, r"[^A-Za-z0-9_.,()+\-\x{80}-\x{10FFFF}]+", " "))
+def clean_name(name: Column, slash: bool = False) -> Column:
+    """A file name: a colon becomes a dash between single spaces, each run of characters that names don't hold one space, none at the start."""
+    kept = r"A-Za-z0-9\x{80}-\x{10FFFF}_+\-=%'\"$&,.!()\[\]{}<>" + "/" * slash
+    plain = F.ltrim(F.regexp_replace(name, rf"[^{kept}:]+", " "))
+    dashed = F.regexp_replace(F.regexp_replace(plain, r" *: *", " - "), r"  +", " ")
+    return F.regexp_replace(F.regexp_replace(dashed, r"^ +", ""), r" $", "")
 
 
 def find_id(text: Column) -> Column:
-    """An identifier in free text: `ID=name`, `name [ID]` or `ID name`; else null."""
+    """An identifier in a text: of 4 characters if it is all of the text, of 6 if it is that or stands before `=`, else the last `[ID]` of 6, else a first word of 6; or null."""
     one = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    return F.coalesce(one(r"^([A-Z0-9]{4,6})="), one(r"\[([A-Z0-9]{4,6})\]"), one(r"^([A-Z0-9]{4,6})(?:\s|$)"))
+    return F.coalesce(one(r"^\s*([A-Z0-9_]{4})\s*$"), one(r"^\s*([A-Z0-9_]{6})\s*(?:=|$)"), one(r"(?s)^.*\[([A-Z0-9_]{6})\]"), one(r"^\s*([A-Z0-9_]{6})(?![A-Z0-9_])"))
 
 
 def patch_id(ident: Column, patch: str) -> Column:
@@ -92,9 +130,9 @@ def patch_id(ident: Column, patch: str) -> Column:
 ID_REST = 1 << 20
 
 
-def region(ident: Column, at: int = 4) -> Column:
-    """Region by the character at a place, in either case; unknown ones share a name."""
-    table = F.create_map(*[F.lit(x) for pair in REGIONS.items() for x in pair])
+def region(ident: Column, at: int = 4, short: bool = False) -> Column:
+    """Region by the character at a place, in either case: its name, or its four letters; unknown ones share a name."""
+    table = F.create_map(*[F.lit(x) for code, names in REGIONS.items() for x in (code, names[short])])
     return F.coalesce(F.try_element_at(table, F.upper(F.substring(ident, at, 1))), F.lit("-?-"))
 
 
@@ -112,19 +150,50 @@ def version_pair(value: Column) -> Column:
     return F.concat_ws(":", F.shiftright(value, 32).cast("string"), value.bitwiseAND(F.lit(0xFFFFFFFF)).cast("string"))
 
 
+def parse_version(text: Column) -> Column:
+    """A 64-bit version from `HIGH:LOW`, `HIGH-LOW` or `LOW` alone, whose high half is 1; numbers decimal or 0x; null for others."""
+    part = lambda g: F.regexp_extract(text, r"^\s*(0[xX][0-9a-fA-F]{1,8}|[0-9]{1,10})(?:[:-](0[xX][0-9a-fA-F]{1,8}|[0-9]{1,10}))?$", g)
+    number = lambda t: F.when(F.lower(t).startswith("0x"), F.conv(F.substring(t, 3, 8), 16, 10)).otherwise(t).try_cast("long")
+    single = part(2) == ""
+    high, low = F.when(single, F.lit(1).cast("long")).otherwise(number(part(1))), number(F.when(single, part(1)).otherwise(part(2)))
+    return F.when((part(1) != "") & (high < 1 << 31) & (low < 1 << 32), F.shiftleft(high, 32) + low)
+
+
 def hex_id(text: Column) -> Column:
     """The four characters that the last eight hex digits spell, or the text if it is short."""
     return F.when(F.length(text) <= 6, F.upper(text)).otherwise(F.decode(F.unhex(F.substring(text, -8, 8)), "UTF-8"))
 
 
+def is_id(text: Column, lengths: Sequence[int] = (4, 6)) -> Column:
+    """Whether a text is an identifier: capitals, digits and underscores, one of these many."""
+    return text.rlike("^(" + "|".join(f"[A-Z0-9_]{{{n}}}" for n in lengths) + ")$")
+
+
 def big_endian(data: Column, at: int, width: int) -> Column:
     """An unsigned big-endian number of up to 7 bytes in binary data, from offset at."""
     return F.conv(F.hex(F.substring(data, at + 1, width)), 16, 10).cast("long")
 
 
+def little_endian(data: Column, at: int, width: int) -> Column:
+    """As big_endian, with the lowest byte first."""
+    bytes_ = [F.conv(F.hex(F.substring(data, at + i + 1, 1)), 16, 10).cast("long") for i in range(width)]
+    return sum((F.shiftleft(b, 8 * i) for i, b in enumerate(bytes_) if i), bytes_[0])
+
+
+def _components(path: Column, plain) -> Column:
+    """Path components in turn, each as plain has it, then as it is."""
+    return F.transform(F.regexp_extract_all(path, F.lit("[^/]*/|[^/]+"), F.lit(0)), lambda c: F.struct(plain(c).alias("a"), c.alias("b")))
+
+
 def path_key(path: Column) -> Column:
-    """Sort key: path components in turn, each without regard to case first; a folder before what it holds."""
-    return F.transform(F.regexp_extract_all(path, F.lit("[^/]*/|[^/]+"), F.lit(0)), lambda c: F.struct(F.lower(c).alias("a"), c.alias("b")))
+    """Sort key: path components in turn, each without regard to case first; a folder's files before the file of its name."""
+    ends = lambda c: F.when(c.endswith("/"), F.translate(c, "/" + UPPER, "\x01" + LOWER)).otherwise(F.concat(F.translate(c, UPPER, LOWER), F.lit("\x02")))
+    return _components(path, ends)
+
+
+def upper_path_key(path: Column) -> Column:
+    """The other collation: full stops next to slashes before all else, letters in capitals, a name before what is longer."""
+    return _components(path, lambda c: F.translate(c, "/." + LOWER, "\x01\x02" + UPPER))
 
 
 def status_text(bits: Column, names: Sequence[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import path_key
+from ..functions.scalars import path_key, upper_path_key
 
 
 def first_of(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
@@ -35,22 +35,43 @@ def totals(df: DataFrame, group: str, size: str) -> DataFrame:
     return df.rollup(group).agg(F.count("*").alias("n"), F.sum(size).alias("total"))
 
 
-#: Sort modes over columns title, name, id, path, size, time: each ends in the title chain, so order is total.
-CHAIN = ("lower(title)", "lower(name)", "id")
+#: Sort modes over the columns title, name, id, fname, part_index, size_mib, used_blocks, slot, itime, mtime,
+#: ctime, atime, n_part, fragments. Each chain ends in that of the title, so the order is total where a file holds an item once.
+TITLE = ("lower(coalesce(title, name))", "lower(name)", "id", "coalesce(fname, '')", "part_index")
+#: Sectors of a MiB; an item without a count of used blocks counts by its size.
+SIZE = ("CASE WHEN coalesce(used_blocks, 0) > 0 THEN used_blocks ELSE size_mib * 32 END", *TITLE)
+#: Unknown times come first.
+_M = ("mtime", "itime", "ctime", "atime", *TITLE)
 SORTS = {
-    "title": CHAIN,
-    "name": ("lower(name)", *CHAIN),
-    "id": ("id", *CHAIN),
-    "size": ("size", *CHAIN),
-    "time": ("time", *CHAIN),
-    "region": ("substring(id, 4, 1)", *CHAIN),
+    "title": TITLE,
+    "name": ("lower(name)", *TITLE),
+    "id": ("id", *TITLE),
+    "file": ("coalesce(fname, '')", *TITLE),
+    "size": SIZE,
+    "offset": ("slot", *SIZE),
+    "region": ("substring(id, 4, 1)", "id", *TITLE),
+    "container": ("part_index", *TITLE),
+    "n_part": ("n_part", *TITLE),
+    "fragments": ("fragments", *TITLE),
+    "itime": ("itime", "ctime", *_M),
+    "mtime": _M,
+    "ctime": ("ctime", *_M),
+    "atime": ("atime", *_M),
+    "path": TITLE,
+    "nintendo": TITLE,
 }
 
 
 def sort_key(mode: str, reverse: bool = False) -> list[Column]:
     """Columns to order by; reverse turns all of them, ties too."""
-    keys = [path_key(F.col("path")), *map(F.expr, CHAIN)] if mode == "path" else list(map(F.expr, SORTS[mode]))
-    return [k.desc() if reverse else k.asc() for k in keys]
+    first = {"path": [path_key(F.col("name"))], "nintendo": [upper_path_key(F.col("name"))]}.get(mode, [])
+    keys = first + list(map(F.expr, SORTS[mode]))
+    return [k.desc_nulls_last() if reverse else k.asc_nulls_first() for k in keys]
+
+
+def unique(items: DataFrame, level: int = 1, ties: Sequence[str | Column] = ()) -> DataFrame:
+    """One row of each id, name and size (level 1) or of each id (level 2): the first by id and title, then by ties."""
+    return first_of(items, ["id", "name", "size_mib"] if level == 1 else ["id"], [*sort_key("id"), *ties])
 
 
 def first_links(files: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def islands(df: DataFrame, by: Sequence[str], touching: bool = True) -> DataFrame:
     """by, off, size of the areas that extents(by..., off, size) cover; touching areas merge, or only overlapping ones."""
@@ -55,7 +57,20 @@ def compose(first: DataFrame, second: DataFrame, by: Sequence[str], bucket: int)
     b = second.select(*by, F.col("mid").alias("b_mid"), F.col("dst").alias("b_dst"), F.col("size").alias("b_size"), spread("mid").alias("_b"))
     low, high = F.greatest("a_mid", "b_mid"), F.least(F.col("a_mid") + F.col("a_size"), F.col("b_mid") + F.col("b_size"))
     met = a.join(b, [*by, "_b"]).where((low < high) & (F.floor(low / bucket) == F.col("_b")))
-    return met.select(*by, (F.col("a_src") + low - F.col("a_mid")).alias("src"), (F.col("b_dst") + low - F.col("b_mid")).alias("dst"), (high - low).alias("size"))
+    return joined(met.select(*by, (F.col("a_src") + low - F.col("a_mid")).alias("src"), (F.col("b_dst") + low - F.col("b_mid")).alias("dst"), (high - low).alias("size")), by)
+
+
+def joined(pieces: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, src, dst, size: pieces that go on where another ends, at both places, as one."""
+    w = W.partitionBy(*by).orderBy("src", "dst", "size")
+    goes_on = (F.col("src") == F.lag(F.col("src") + F.col("size")).over(w)) & (F.col("dst") == F.lag(F.col("dst") + F.col("size")).over(w))
+    rows = pieces.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_piece", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.groupBy(*by, "_piece").agg(F.min("src").alias("src"), F.min("dst").alias("dst"), F.sum("size").alias("size")).drop("_piece")
+
+
+def map_union(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, block, usage of two block maps(by..., block, usage): the greater usage where both have a block."""
+    return left.unionByName(right).groupBy(*by, "block").agg(F.max("usage").alias("usage"))
 
 
 def overlapping(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -83,10 +98,8 @@ def covering(points: DataFrame, files: DataFrame, by: Sequence[str]) -> DataFram
 
 
 def layout(items: DataFrame, by: Sequence[str], order: Sequence[str], unit: int) -> DataFrame:
-    """items with off: the sum of the sizes before it, each rounded up to unit."""
-    before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return items.withColumn("off", F.coalesce(F.sum(F.ceil(F.col("size") / unit) * unit).over(before), F.lit(0)).cast("long"))
-
+    """items with off: the sum of the sizes before it, each rounded up to unit. A large group is summed over many tasks."""
+    return running(items, by, list(map(F.col, order)), (F.ceil(F.col("size") / unit) * unit).cast("long"), "off")
 
 def used_groups(sectors: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     """by, n_groups of sectors(by..., sector, used): groups of n neighbours with a used one."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import binary as B
 from ..functions import patterns as P
 from ..functions import scalars as S
-from ..operators import catalog, extents, integrity, merge
+from ..operators import catalog, extents, integrity, merge, order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,8 +70,8 @@ def catalog_list(t: Tables) -> DataFrame:
     items = catalog.with_title(_items(t), t.spark.createDataFrame(_TITLES, "id string, title string"), "id", F.col("name"))
     items = items.withColumn("size_mib", S.half_up(F.col("size"), S.MIB))
     kept = catalog.first_of(items, ["id", "name", "size_mib"], ["key"])
-    place = F.row_number().over(W.orderBy(*catalog.sort_key("title"), "key")).cast("long")
-    return kept.select("key", "id", "title", "name", "size_mib", place.alias("place"))
+    placed = order.numbered(kept, [], [F.lower("title"), F.lower("name"), F.col("id"), F.col("key")], "place")
+    return placed.select("key", "id", "title", "name", "size_mib", (F.col("place") + 1).alias("place"))
 
 
 @query("""
@@ -100,40 +100,75 @@ def distinct_ids(t: Tables) -> DataFrame:
     return t.part.select(F.upper(F.substring("p_type", 1, 4)).alias("id")).distinct()
 
 
-def _sorted(mode: str, reverse: bool = False):
+_DISCS = """SELECT p_partkey AS key, upper(p_type) AS id, replace(p_name, ' ', CASE p_partkey % 3 WHEN 0 THEN '/' WHEN 1 THEN '.' ELSE '_' END) AS name,
+  CASE WHEN p_partkey % 5 <> 0 THEN lower(p_brand) END AS title, CASE WHEN p_partkey % 6 <> 0 THEN 'd' || p_partkey % 7 || '/' || p_name END AS fname, (p_partkey % 3)::INTEGER AS part_index,
+  p_size::BIGINT AS size_mib, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size * 30 + p_partkey % 5 END AS used_blocks, p_partkey % 11 AS slot, p_size % 4 AS n_part, p_partkey % 6 AS fragments,
+  CASE WHEN p_partkey % 10 <> 0 THEN p_partkey % 4 END AS itime, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 5 END AS mtime, p_partkey % 3 AS ctime, p_size % 3 AS atime FROM part"""
+
+
+def _discs(t: Tables) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    mark = F.when(key % 3 == 0, "/").when(key % 3 == 1, ".").otherwise("_")
+    return t.part.select(
+        key.alias("key"), F.upper("p_type").alias("id"), F.replace("p_name", F.lit(" "), mark).alias("name"), F.when(key % 5 != 0, F.lower("p_brand")).alias("title"),
+        F.when(key % 6 != 0, F.concat(F.lit("d"), (key % 7).cast("string"), F.lit("/"), F.col("p_name"))).alias("fname"), (key % 3).cast("int").alias("part_index"),
+        size.cast("long").alias("size_mib"), F.when(key % 4 == 0, 0).otherwise(size * 30 + key % 5).alias("used_blocks"), (key % 11).alias("slot"), (size % 4).alias("n_part"), (key % 6).alias("fragments"),
+        F.when(key % 10 != 0, key % 4).alias("itime"), F.when(key % 9 != 0, key % 5).alias("mtime"), (key % 3).alias("ctime"), (size % 3).alias("atime"),
+    )
+
+
+def _sorted(mode: str, reverse: bool):
     def make(t: Tables) -> DataFrame:
-        items = _items(t).select("key", "id", "name", "size", F.lower("p_brand").alias("title"))
-        order = [*catalog.sort_key(mode, reverse), F.col("key").desc() if reverse else F.col("key").asc()]
-        return items.select("key", F.row_number().over(W.orderBy(*order)).cast("long").alias("place"))
+        key = F.col("key").desc() if reverse else F.col("key").asc()
+        placed = order.numbered(_discs(t), [], [*catalog.sort_key(mode, reverse), key], "place")
+        return placed.select("key", (F.col("place") + 1).alias("place"))
 
     return make
 
 
-def _sort_sql(keys: str, reverse: bool = False) -> str:
-    order = ", ".join(k + " DESC" * reverse for k in [*keys.split("; "), "key"])
-    return f"WITH i AS ({_ITEMS}) SELECT key, row_number() OVER (ORDER BY {order}) AS place FROM (SELECT *, lower(p_brand) AS title FROM i)"
+def _sort_sql(keys: str, reverse: bool) -> str:
+    by = ", ".join(k + (" DESC NULLS LAST" if reverse else " NULLS FIRST") for k in [*keys.split("; "), "key"])
+    return f"WITH i AS ({_DISCS}) SELECT key, row_number() OVER (ORDER BY {by}) AS place FROM i"
 
 
-_CHAIN_SQL = "lower(title); lower(name); id"
+_CHAIN_SQL = "lower(coalesce(title, name)); lower(name); id; coalesce(fname, ''); part_index"
+_SIZE_SQL = f"CASE WHEN used_blocks <> 0 THEN used_blocks ELSE size_mib * 32 END; {_CHAIN_SQL}"
+_MTIME_SQL = f"mtime; itime; ctime; atime; {_CHAIN_SQL}"
+#: By component: the slash before all, then lower case; or slash, full stop, then capitals, where the end of a name comes first.
+_BY_PATH = "[{'a': CASE WHEN c LIKE '%/' THEN lower(c)[:-2] || chr(1) ELSE lower(c) || chr(2) END, 'b': c} FOR c IN regexp_extract_all(name, '[^/]*/|[^/]+')]"
+_BY_CAPITALS = "[{'a': translate(upper(c), '/.', chr(1) || chr(2)), 'b': c} FOR c IN regexp_extract_all(name, '[^/]*/|[^/]+')]"
 for _mode, _keys, _reverse in (
-    ("title", _CHAIN_SQL, False),
-    ("name", f"lower(name); {_CHAIN_SQL}", False),
-    ("id", f"id; {_CHAIN_SQL}", True),
-    ("size", f"size; {_CHAIN_SQL}", True),
-    ("region", f"substr(id, 4, 1); {_CHAIN_SQL}", False),
-):
-    QUERIES[f"sort_by_{_mode}"] = lambda spark, folder, make=_sorted(_mode, _reverse): make(Tables(spark, folder))
-    ORACLES[f"sort_by_{_mode}"] = _sort_sql(_keys, _reverse)
+    ("title", _CHAIN_SQL, False), ("name", f"lower(name); {_CHAIN_SQL}", False), ("id", f"id; {_CHAIN_SQL}", True), ("file", f"coalesce(fname, ''); {_CHAIN_SQL}", False),
+    ("size", _SIZE_SQL, True), ("offset", f"slot; {_SIZE_SQL}", False), ("region", f"substr(id, 4, 1); id; {_CHAIN_SQL}", False), ("container", f"part_index; {_CHAIN_SQL}", False),
+    ("n_part", f"n_part; {_CHAIN_SQL}", False), ("fragments", f"fragments; {_CHAIN_SQL}", True), ("itime", f"itime; ctime; {_MTIME_SQL}", False), ("mtime", _MTIME_SQL, True),
+    ("ctime", f"ctime; {_MTIME_SQL}", False), ("atime", f"atime; {_MTIME_SQL}", False), ("path", f"{_BY_PATH}; {_CHAIN_SQL}", False), ("nintendo", f"{_BY_CAPITALS}; {_CHAIN_SQL}", False),
+):
+    _name = {"path": "sort_by_name_path", "nintendo": "sort_by_name_capitals"}.get(_mode, f"sort_by_{_mode}")
+    QUERIES[_name] = lambda spark, folder, make=_sorted(_mode, _reverse): make(Tables(spark, folder))
+    ORACLES[_name] = _sort_sql(_keys, _reverse)
+
+
+@query(f"""
+WITH i AS ({_DISCS}), u AS (SELECT * FROM i WHERE key % 2 = 0 OR key % 3 = 0 UNION ALL SELECT * REPLACE (part_index + 10 AS part_index) FROM i WHERE key % 2 = 1 OR key % 5 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY id, name, size_mib ORDER BY id, {_CHAIN_SQL.replace("; ", ", ")}, key) AS nth FROM u)
+SELECT key, id, name, part_index, row_number() OVER (ORDER BY {_CHAIN_SQL.replace("; ", ", ")}, key) AS place FROM f WHERE nth = 1
+""")
+def mixed_listing(t: Tables) -> DataFrame:
+    one, two = _discs(t).where("key % 2 = 0 or key % 3 = 0"), _discs(t).where("key % 2 = 1 or key % 5 = 0")
+    items = catalog.unique(one.unionByName(two.withColumn("part_index", F.col("part_index") + 10)), ties=["key"])
+    return order.numbered(items, [], [*catalog.sort_key("title"), F.col("key")], "place").select("key", "id", "name", "part_index", (F.col("place") + 1).alias("place"))
+
 
 _PATH_SQL = "regexp_replace(url, '^[^:]*://', '')"
 
 
 @query(f"""
-SELECT page_id, row_number() OVER (ORDER BY [{{'a': lower(c), 'b': c}} FOR c IN regexp_extract_all({_PATH_SQL}, '[^/]*/|[^/]+')], page_id) AS place FROM pages
+SELECT page_id, row_number() OVER (ORDER BY [{{'a': CASE WHEN c LIKE '%/' THEN lower(c)[:-2] || chr(1) ELSE lower(c) || chr(2) END, 'b': c}} FOR c IN regexp_extract_all({_PATH_SQL}, '[^/]*/|[^/]+')], page_id) AS place FROM pages
 """)
 def sort_by_path(t: Tables) -> DataFrame:
     path = F.regexp_replace("url", "^[^:]*://", "")
-    return t.pages.select("page_id", F.row_number().over(W.orderBy(S.path_key(path), "page_id")).cast("long").alias("place"))
+    placed = order.numbered(t.pages.select("page_id", S.path_key(path).alias("key")), [], [F.col("key"), F.col("page_id")], "place")
+    return placed.select("page_id", (F.col("place") + 1).alias("place"))
 
 
 @query("""
@@ -257,35 +292,81 @@ def depth_limit(t: Tables) -> DataFrame:
 
 # --- merging
 
-_SOURCE = "SELECT o_custkey::VARCHAR AS id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate END AS mtime, o_orderkey AS path FROM orders WHERE o_orderkey % 3 = 0"
-_TARGET = "SELECT CASE WHEN o_custkey % 7 = 0 THEN '_' ELSE '' END || o_custkey AS id, max(o_orderdate) AS mtime FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL"
+#: Every order is a source; every third customer isn't there yet, some under another name.
+_SOURCE = """SELECT o_custkey::VARCHAR AS id, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE epoch(o_orderdate)::BIGINT END AS m, o_orderkey AS path, o_orderstatus,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders"""
+_TARGET = """SELECT CASE WHEN c_custkey % 7 = 0 THEN '_' ELSE '' END || c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE epoch(TIMESTAMP '1995-01-01') + c_custkey * 86400 END::BIGINT AS m
+  FROM customer WHERE c_custkey % 3 <> 0"""
 
 
 def _source(t: Tables) -> DataFrame:
-    time = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate"))
-    return t.orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("id"), time.alias("mtime"), F.col("o_orderkey").alias("path"))
+    time = F.when(F.col("o_orderkey") % 11 != 0, F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
+    return t.orders.select(F.col("o_custkey").cast("string").alias("id"), time.alias("mtime"), F.col("o_orderkey").alias("path"), "o_orderstatus")
 
 
 def _target(t: Tables) -> DataFrame:
-    ident = F.concat(F.when(F.col("o_custkey") % 7 == 0, "_").otherwise(""), F.col("o_custkey").cast("string"))
-    return t.orders.where("o_orderkey % 4 = 0").groupBy(ident.alias("id")).agg(F.max("o_orderdate").alias("mtime"))
+    key = F.col("c_custkey")
+    time = F.when(key % 5 != 0, F.unix_timestamp(F.lit("1995-01-01").cast("timestamp")) + key * 86400)
+    return t.customer.where(key % 3 != 0).select(F.concat(F.when(key % 7 == 0, "_").otherwise(""), key.cast("string")).alias("id"), time.alias("mtime"))
 
 
-_NEWER = "CASE WHEN s.mtime IS NULL OR s.mtime > t.mtime THEN 'replace' ELSE 'skip' END"
-for _mode, _present in (("add", "'exists'"), ("update", "'skip'"), ("new", _NEWER), ("overwrite", "'replace'"), ("sync", _NEWER)):
-    QUERIES[f"merge_{_mode}"] = lambda spark, folder, mode=_mode: (
-        merge.plan(_source(Tables(spark, folder)), _target(Tables(spark, folder)), mode).groupBy("id", "action").agg(F.count("*").alias("n"))
+def _merge_sql(mode: str, source: str = _SOURCE, skipped: str = "") -> str:
+    """One row after another, as they come; m = 0 is an unknown time."""
+    newer = "s.m = 0 OR s.m > f.m"
+    taken = {"overwrite": "true", "new": newer}.get(mode, "false")
+    other = {"add": "exists", "update": "skip", "new": "skip", "overwrite": "replace", "sync": "skip"}[mode]
+    gone = "UNION ALL SELECT id, NULL, 'remove' FROM t WHERE id NOT IN (SELECT id FROM s) AND NOT starts_with(id, '_')" if mode == "sync" else ""
+    return f"""
+WITH RECURSIVE s AS ({source}), t AS ({_TARGET}),
+f(id, nth, m, there, path, action) AS (
+  SELECT s.id, 0, coalesce(t.m, 0), t.id IS NOT NULL, NULL::VARCHAR, NULL::VARCHAR FROM (SELECT DISTINCT id FROM s) AS s LEFT JOIN t ON t.id = s.id
+  UNION ALL
+  SELECT s.id, f.nth + 1, CASE WHEN NOT f.there OR {taken} THEN s.m ELSE f.m END, true, s.path::VARCHAR, CASE WHEN NOT f.there THEN 'add' WHEN {taken} THEN 'replace' ELSE '{other}' END
+  FROM f JOIN s ON s.id = f.id AND s.nth = f.nth + 1
+)
+SELECT id, path, action FROM f WHERE nth > 0 {skipped} {gone}"""
+
+
+for _mode in merge.MODES:
+    QUERIES[f"merge_{_mode}"] = lambda spark, folder, mode=_mode: merge.plan(_source(Tables(spark, folder)), _target(Tables(spark, folder)), mode)
+    ORACLES[f"merge_{_mode}"] = _merge_sql(_mode)
+
+
+@query(
+    _merge_sql(
+        "sync",
+        "SELECT * REPLACE (row_number() OVER (PARTITION BY id ORDER BY path) AS nth) FROM (" + _SOURCE + ") WHERE o_orderstatus <> 'F'",
+        "UNION ALL SELECT o_custkey::VARCHAR, o_orderkey::VARCHAR, 'skip' FROM orders WHERE o_orderstatus = 'F'",
     )
-    ORACLES[f"merge_{_mode}"] = f"""
-WITH s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY path) AS nth FROM ({_SOURCE})), t AS ({_TARGET}),
-p AS (SELECT s.id, CASE WHEN nth > 1 THEN 'exists' WHEN t.id IS NULL THEN 'add' ELSE {_present} END AS action FROM s LEFT JOIN t ON t.id = s.id
-  {"UNION ALL SELECT id, 'remove' FROM t WHERE id NOT IN (SELECT id FROM s) AND id NOT LIKE '#_%' ESCAPE '#'" if _mode == "sync" else ""})
-SELECT id, action, count(*) AS n FROM p GROUP BY ALL"""
+)
+def merge_excluded(t: Tables) -> DataFrame:
+    return merge.plan(_source(t), _target(t), "sync", F.col("o_orderstatus") == "F")
 
 
-@query("SELECT s_suppkey AS key FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 500 = 0)")
+@query("SELECT s_suppkey + n AS key FROM supplier, range(0, 3) AS x(n) WHERE s_suppkey + n NOT IN (SELECT l_suppkey FROM lineitem)")
 def unused_parameters(t: Tables) -> DataFrame:
-    return merge.unused(t.supplier.select(F.col("s_suppkey").alias("key")), t.lineitem.where("l_orderkey % 500 = 0").select(F.col("l_suppkey").alias("key")), "key")
+    params = t.supplier.select(F.explode(F.sequence("s_suppkey", F.col("s_suppkey") + 2)).alias("key"))
+    return merge.unused(params, t.lineitem.select(F.col("l_suppkey").alias("key")).distinct(), "key")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
+def remove_items(t: Tables) -> DataFrame:
+    selected = t.orders.where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey"))
+    return merge.remove(t.customer.select("c_custkey", "c_name"), selected, "c_custkey")
+
+
+@query(f"""
+WITH i AS ({_DISCS}), s AS (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)
+SELECT key, CASE WHEN key IN (FROM s) THEN 77 ELSE itime END::BIGINT AS itime, mtime, ctime, CASE WHEN key IN (FROM s) THEN 77 ELSE atime END::BIGINT AS atime FROM i
+""")
+def touch_items(t: Tables) -> DataFrame:
+    items = _discs(t).select("key", "itime", "mtime", "ctime", F.col("atime").cast("long").alias("atime"))
+    return merge.touch(items, t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("key")), "key", F.lit(77).cast("long"), ("itime", "atime"))
+
+
+@query("SELECT o_orderkey AS job FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 25")
+def job_limit(t: Tables) -> DataFrame:
+    return merge.job_limit(t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("job")), [F.col("job")], 25)
 
 
 @query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS there FROM customer")
@@ -345,10 +426,13 @@ def interval_subtraction(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH e AS ({_EXT}), a AS (SELECT user_id, event_id * 1000 AS src, off AS mid, size FROM e WHERE event_id % 2 = 0),
-b AS (SELECT user_id, off AS mid, event_id * 7 AS dst, size FROM e WHERE event_id % 2 = 1)
-SELECT a.user_id, a.src + greatest(a.mid, b.mid) - a.mid AS src, b.dst + greatest(a.mid, b.mid) - b.mid AS dst,
+b AS (SELECT user_id, off AS mid, event_id * 7 AS dst, size FROM e WHERE event_id % 2 = 1),
+c AS (SELECT a.user_id, a.src + greatest(a.mid, b.mid) - a.mid AS src, b.dst + greatest(a.mid, b.mid) - b.mid AS dst,
   least(a.mid + a.size, b.mid + b.size) - greatest(a.mid, b.mid) AS size
-FROM a JOIN b ON a.user_id = b.user_id AND a.mid < b.mid + b.size AND b.mid < a.mid + a.size
+FROM a JOIN b ON a.user_id = b.user_id AND a.mid < b.mid + b.size AND b.mid < a.mid + a.size),
+n AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY src, dst, size ROWS UNBOUNDED PRECEDING) AS piece
+  FROM (SELECT *, coalesce(src = lag(src + size) OVER w AND dst = lag(dst + size) OVER w, false) AS goes_on FROM c WINDOW w AS (PARTITION BY user_id ORDER BY src, dst, size)))
+SELECT user_id, min(src) AS src, min(dst) AS dst, sum(size)::BIGINT AS size FROM n GROUP BY user_id, piece
 """)
 def extent_compose(t: Tables) -> DataFrame:
     e = _ext(t)
@@ -366,13 +450,13 @@ def overlap_marks(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH f AS (SELECT user_id, off, ceil(size / 4) * 4 AS size FROM ({_islands_sql(">")})), p AS (SELECT user_id, off + size // 2 + 3000 AS pos FROM ({_EXT}) WHERE event_id % 5 = 0),
+WITH f AS (SELECT user_id, off, ceil(size / 4) * 4 AS size FROM ({_islands_sql(">")})), p AS (SELECT user_id, off + size // 2 + 3000 AS pos FROM ({_EXT}) ),
 h AS (SELECT p.*, (SELECT max(off) FROM f WHERE f.user_id = p.user_id AND f.off <= p.pos) AS here, (SELECT min(off) FROM f WHERE f.user_id = p.user_id AND f.off > p.pos) AS after FROM p)
 SELECT h.user_id, pos, coalesce(pos < here + f.size, false) AS inside, CASE WHEN pos < here + f.size THEN here ELSE after END::VARCHAR AS file FROM h LEFT JOIN f ON f.user_id = h.user_id AND f.off = here
 """)
 def offset_lookup(t: Tables) -> DataFrame:
     files = extents.islands(_ext(t), ["user_id"]).withColumn("file", F.col("off").cast("string"))
-    points = _ext(t).where("event_id % 5 = 0").select("user_id", (F.col("off") + F.expr("size div 2") + 3000).alias("at"))
+    points = _ext(t).select("user_id", (F.col("off") + F.expr("size div 2") + 3000).alias("at"))
     return extents.covering(points, files, ["user_id"]).withColumnRenamed("at", "pos")
 
 
@@ -454,7 +538,7 @@ SELECT g AS old_group, row_number() OVER (ORDER BY g) - 1 AS new_group FROM (SEL
 """)
 def pack_used(t: Tables) -> DataFrame:
     groups = t.lineitem.where("l_quantity > 49").select(F.expr("l_orderkey div 8").alias("old_group")).distinct()
-    return groups.withColumn("new_group", (F.row_number().over(W.orderBy("old_group")) - 1).cast("long"))
+    return order.numbered(groups, [], [F.col("old_group")], "new_group")
 
 
 @query("""
@@ -507,28 +591,34 @@ def message_limit(t: Tables) -> DataFrame:
     return integrity.first_messages(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 3).select("l_suppkey", "l_orderkey", "l_linenumber", "n_all")
 
 
-_REFS = "SELECT l_suppkey AS slot, l_linenumber AS idx, CASE WHEN l_quantity < 2 THEN 0 ELSE l_partkey END AS block FROM lineitem WHERE l_orderkey % 100 = 0"
+#: Some references lie beyond the last block.
+_REFS = """SELECT l_suppkey AS slot, l_linenumber AS idx, CASE WHEN l_quantity < 2 THEN 0 WHEN l_quantity > 49 THEN l_partkey + (SELECT max(p_partkey) FROM part) ELSE l_partkey END AS block
+  FROM lineitem WHERE l_returnflag = 'R' OR l_discount > 0.06"""
 _FBT = "SELECT p_partkey AS block, p_size > 25 AS is_free FROM part"
 
 
-def _container(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    refs = t.lineitem.where("l_orderkey % 100 = 0").select(F.col("l_suppkey").alias("slot"), F.col("l_linenumber").alias("idx"), F.when(F.col("l_quantity") < 2, 0).otherwise(F.col("l_partkey")).alias("block"))
-    return t.supplier.select(F.col("s_suppkey").alias("slot")), refs, t.part.select(F.col("p_partkey").alias("block"), (F.col("p_size") > 25).alias("is_free"))
+def _container(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Slots, references, table of free blocks and number of blocks."""
+    last = t.part.agg(F.max("p_partkey")).first()[0]
+    block = F.when(F.col("l_quantity") < 2, 0).when(F.col("l_quantity") > 49, F.col("l_partkey") + last).otherwise(F.col("l_partkey"))
+    refs = t.lineitem.where("l_returnflag = 'R' or l_discount > 0.06").select(F.col("l_suppkey").alias("slot"), F.col("l_linenumber").alias("idx"), block.alias("block"))
+    return t.supplier.select(F.col("s_suppkey").alias("slot")), refs, t.part.select(F.col("p_partkey").alias("block"), (F.col("p_size") > 25).alias("is_free")), last + 1
 
 
 @query(f"""
-WITH r AS (SELECT * FROM ({_REFS}) WHERE block <> 0), g AS (SELECT * FROM r WHERE block < 1900), f AS ({_FBT})
-SELECT 'invalid' AS kind, slot, block FROM r WHERE block >= 1900 UNION ALL SELECT 'marked_free', slot, block FROM g WHERE block IN (SELECT block FROM f WHERE is_free)
+WITH r AS (SELECT * FROM ({_REFS}) WHERE block <> 0), g AS (SELECT * FROM r WHERE block <= (SELECT max(p_partkey) FROM part)), f AS ({_FBT})
+SELECT 'invalid' AS kind, slot, block FROM r WHERE block > (SELECT max(p_partkey) FROM part) UNION ALL SELECT 'marked_free', slot, block FROM g WHERE block IN (SELECT block FROM f WHERE is_free)
 UNION ALL SELECT 'multi_use', NULL, block FROM g GROUP BY block HAVING count(*) > 1 UNION ALL SELECT 'no_blocks', s_suppkey, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT slot FROM r)
 UNION ALL SELECT 'lost', NULL, block FROM f WHERE NOT is_free AND block NOT IN (SELECT block FROM g)
 """)
 def container_check(t: Tables) -> DataFrame:
-    return integrity.check_container(*_container(t), 1900)
+    return integrity.check_container(*_container(t))
 
 
-@query(f"SELECT b AS block, b NOT IN (SELECT block FROM ({_REFS})) AS is_free FROM range(1, 1900) x(b)")
+@query(f"SELECT b AS block, b NOT IN (SELECT block FROM ({_REFS})) AS is_free FROM range(1, (SELECT max(p_partkey) FROM part) + 1) x(b)")
 def container_repair(t: Tables) -> DataFrame:
-    return integrity.repaired_table(_container(t)[1], 1900)
+    _, refs, _, n_blocks = _container(t)
+    return integrity.repaired_table(refs, n_blocks)
 
 
 @query(f"""
@@ -536,7 +626,7 @@ WITH r AS ({_REFS}), d AS (SELECT s_suppkey AS slot FROM supplier WHERE s_suppke
 SELECT slot FROM d WHERE slot NOT IN (SELECT slot FROM r WHERE slot IN (SELECT slot FROM d) AND block IN (SELECT block FROM r WHERE slot NOT IN (SELECT slot FROM d)))
 """)
 def container_recover(t: Tables) -> DataFrame:
-    slots, refs, _ = _container(t)
+    slots, refs, _, _ = _container(t)
     return integrity.recoverable(slots.where("slot % 4 = 0"), refs)
 
 
@@ -548,9 +638,8 @@ l3 AS (SELECT lang, idx // 8 AS idx, sha256(string_agg(hash, '' ORDER BY idx)) A
 SELECT lang, 0 AS level, idx, hash FROM l0 UNION ALL SELECT lang, 1, idx, hash FROM l1 UNION ALL SELECT lang, 2, idx, hash FROM l2 UNION ALL SELECT lang, 3, idx, hash FROM l3
 """)
 def hash_tree(t: Tables) -> DataFrame:
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1
-    blocks = t.documents.select("lang", nth.alias("idx"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
-    return integrity.hash_tree(blocks, ["lang"], [31, 8, 8])
+    hashes = t.documents.select("lang", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return integrity.hash_tree(order.numbered(hashes, ["lang"], [F.col("doc_id")], "idx").select("lang", "idx", "hash"), ["lang"], [31, 8, 8])
 
 
 @query("""
@@ -575,30 +664,59 @@ def patch_overlay(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, (p_size * 1000 + 512)::BIGINT AS a, p_size * 1048576::BIGINT + p_partkey AS b, (p_size * 32768)::BIGINT AS c FROM part
+SELECT p_partkey, (p_size * 1000 + 512)::BIGINT AS a, p_size * 1048576::BIGINT + p_partkey AS b, (p_size * 32768)::BIGINT AS c, p_size * 1047552::BIGINT AS minus, p_size::BIGINT AS cut,
+  CASE WHEN p_size >= 4 THEN p_size * 1459978240::BIGINT - 4699979776 END AS discs, p_size * 1024::BIGINT + 7 AS sign, NULL::BIGINT AS other FROM part
 """)
 def parse_sizes(t: Tables) -> DataFrame:
     text = lambda *x: F.concat(*[F.col(y).cast("string") if y.startswith("p_") else F.lit(y) for y in x])
-    return t.part.select("p_partkey", S.parse_size(text("p_size", "k+512")).alias("a"), S.parse_size(text("p_size", "+", "p_partkey"), S.MIB).alias("b"), S.parse_size(text("p_size", "/2", "s", "+", "p_size", "/2s")).alias("c"))
+    return t.part.select(
+        "p_partkey", S.parse_size(text("p_size", "k+512")).alias("a"), S.parse_size(text("p_size", "+", "p_partkey"), S.MIB).alias("b"), S.parse_size(text("p_size", "/2", "s", "+", "p_size", "/2s")).alias("c"),
+        S.parse_size(text("p_size", "M - ", "p_size", "K")).alias("minus"), S.parse_size(text("p_size", ".75")).alias("cut"), S.parse_size(text("p_size", "u-1W")).alias("discs"),
+        S.parse_size(text("p_size", "K+"), 1, 7).alias("sign"), S.parse_size(text("x", "p_size")).alias("other"),
+    )
 
 
-@query("""
-WITH s AS (SELECT p_partkey, p_size::BIGINT * p_size * p_partkey * 1000 AS size FROM part)
-SELECT p_partkey, CASE WHEN size <= 9999 THEN size || ' B' WHEN (size + 512) // 1024 <= 9999 THEN (size + 512) // 1024 || ' KiB'
-  WHEN (size + 524288) // 1048576 <= 9999 THEN (size + 524288) // 1048576 || ' MiB' ELSE (size + 536870912) // 1073741824 || ' GiB' END AS text FROM s
-""")
-def print_sizes(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", S.print_size(F.col("p_size").cast("long") * F.col("p_size") * F.col("p_partkey") * 1000).alias("text"))
+def _print_size_sql(base: int, names: str) -> str:
+    h = lambda k: f"({base}::BIGINT ** {k})::BIGINT"
+    return f"""
+WITH s AS (SELECT p_partkey, unnest([p_size::BIGINT << (p_partkey % 40)::INTEGER, p_size::BIGINT * p_partkey, p_size * {h(1)} ** (p_partkey % 4)::BIGINT, p_partkey + 9000])::BIGINT AS size FROM part),
+r AS (SELECT *, (size + {base // 2}) // {base} AS k, (size + {base**2 // 2}) // {base**2} AS m, size // {base**2} AS d FROM s),
+q AS (SELECT *, (d + {base**2 // 2}) // {base**2} AS tt, (d + {base // 2}) // {base} AS g FROM r),
+n AS (SELECT p_partkey, size, CASE WHEN m < 10000 THEN CASE WHEN k < 10 THEN size WHEN k < 10000 THEN k ELSE m END WHEN tt < 10 THEN g ELSE tt END AS n,
+  CASE WHEN m < 10000 THEN CASE WHEN k < 10 THEN 0 WHEN k < 10000 THEN 1 ELSE 2 END WHEN tt < 10 THEN 3 ELSE 4 END AS u FROM q)
+SELECT p_partkey, size, CASE WHEN n > 0 AND n % {base} = 0 THEN n // {base} || ' ' || {names}[u + 2] ELSE n || ' ' || {names}[u + 1] END AS text FROM n"""
+
+
+def _print_sizes(base: int):
+    def make(t: Tables) -> DataFrame:
+        key, size = F.col("p_partkey"), F.col("p_size").cast("long")
+        powers = F.element_at(F.array(*[F.lit(base**k).cast("long") for k in range(4)]), (key % 4 + 1).cast("int"))
+        rows = t.part.select("p_partkey", F.explode(F.array(F.call_function("shiftleft", size, (key % 40).cast("int")), size * key, size * powers, key + 9000)).alias("size"))
+        return rows.select("p_partkey", "size", S.print_size(F.col("size"), base).alias("text"))
+
+    return make
+
+
+for _base, _name, _units in ((1024, "print_sizes", "['B', 'KiB', 'MiB', 'GiB', 'TiB', 'PiB', 'EiB']"), (1000, "print_sizes_si", "['B', 'kB', 'MB', 'GB', 'TB', 'PB', 'EB']")):
+    QUERIES[_name] = lambda spark, folder, make=_print_sizes(_base): make(Tables(spark, folder))
+    ORACLES[_name] = _print_size_sql(_base, _units)
 
 
 @query("""
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS minute,
-  CASE WHEN o_orderkey % 5 = 0 THEN '---------- --:--:--' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS second, o_orderdate = o_orderdate AS same FROM orders
+  CASE WHEN o_orderkey % 5 = 0 THEN '---------- --:--:--' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS second, o_orderdate = o_orderdate AS same,
+  date_trunc('hour', t) AS hours, date_trunc('minute', t) AS minutes, date_trunc('second', t) AS seconds, date_trunc('hour', t) AS plain_hours, NULL::TIMESTAMP AS dotted
+FROM (SELECT *, o_orderdate + to_seconds((o_orderkey * 7919 % 86400)::INTEGER) AS t FROM orders)
 """)
 def print_times(t: Tables) -> DataFrame:
     time = F.col("o_orderdate").cast("timestamp")
     same = (S.parse_time(S.print_time(time)) == time) & (S.parse_time(F.date_format(time, "yyyyMMdd")) == time) & (S.parse_time(F.unix_timestamp(time).cast("string")) == time)
-    return t.orders.select("o_orderkey", S.print_time(time, "date").alias("day"), S.print_time(time, "minute").alias("minute"), S.print_time(F.when(F.col("o_orderkey") % 5 != 0, time)).alias("second"), same.alias("same"))
+    later = F.timestamp_seconds(F.unix_timestamp(time) + F.col("o_orderkey") * 7919 % 86400)
+    told = lambda form, name: S.parse_time(F.date_format(later, form)).cast("timestamp_ntz").alias(name)
+    return t.orders.select(
+        "o_orderkey", S.print_time(time, "date").alias("day"), S.print_time(time, "minute").alias("minute"), S.print_time(F.when(F.col("o_orderkey") % 5 != 0, time)).alias("second"), same.alias("same"),
+        told("yyyy-MM-dd HH", "hours"), told("yyyy-MM-dd HHmm", "minutes"), told("yyyyMMdd HHmmss", "seconds"), told("yyyyMMdd HH", "plain_hours"), told("dd.MM.yyyy HH:mm", "dotted"),
+    )
 
 
 @query("""
@@ -610,36 +728,53 @@ def name_template(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, p_name || ' - ' || p_type AS cleaned, upper(substr(p_type, 1, 4)) AS found, upper(substr(p_type, 1, 1)) || 'X' || upper(substr(p_type, 3, 1)) || 'Y' || substr(upper(p_type), 5) AS patched FROM part
+SELECT p_partkey, p_name || ' - [' || p_type || '] {x} & 100% "' AS cleaned, upper(substr(p_type, 1, 4)) || 'Q1' AS found, upper(substr(p_type, 1, 4)) AS four,
+  CASE WHEN p_partkey % 2 = 0 THEN 'AB_D01' ELSE upper(substr(p_type, 1, 3)) || 'D01' END AS before_name, NULL::VARCHAR AS five,
+  upper(substr(p_type, 1, 1)) || 'X' || upper(substr(p_type, 3, 1)) || 'Y' || substr(upper(p_type), 5) AS patched, length(p_type) = 6 AS is_id FROM part
 """)
 def names_and_ids(t: Tables) -> DataFrame:
-    ident = F.upper("p_type")
+    ident, text = F.upper("p_type"), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    four = F.substring(ident, 1, 4)
+    first = F.when(F.col("p_partkey") % 2 == 0, "AB_D01 = ").otherwise(text(F.substring(ident, 1, 3), "D01 and "))
     return t.part.select(
-        "p_partkey", S.clean_name(F.concat_ws("", F.col("p_name"), F.lit(": "), F.lit('*"'), F.col("p_type"), F.lit("?"))).alias("cleaned"),
-        S.find_id(F.concat(F.col("p_name"), F.lit(" ["), F.substring(ident, 1, 4), F.lit("]"))).alias("found"), S.patch_id(ident, ".x.y").alias("patched"),
+        "p_partkey", S.clean_name(text(" ", F.col("p_name"), " : [", F.col("p_type"), '] {x} & 100% *?"~')).alias("cleaned"),
+        S.find_id(text("[AAAA01] ", F.col("p_name"), " [", four, "Q1] [ZZ]")).alias("found"), S.find_id(text(" ", four, " ")).alias("four"), S.find_id(text(first, F.col("p_name"))).alias("before_name"),
+        S.find_id(text(F.substring(ident, 1, 3), "45 and more")).alias("five"), S.patch_id(ident, ".x.y").alias("patched"), S.is_id(ident, (6,)).alias("is_id"),
     )
 
 
-@query("""
-SELECT p_partkey, CASE upper(substr(p_type, 4, 1)) WHEN 'D' THEN 'German' WHEN 'E' THEN 'USA' WHEN 'F' THEN 'French' WHEN 'I' THEN 'Italian' WHEN 'J' THEN 'Japan' WHEN 'K' THEN 'Korea' WHEN 'P' THEN 'Europe' WHEN 'S' THEN 'Spanish' ELSE '-?-' END AS region,
-  (p_partkey + 63) // 64 * 64 AS aligned, bit_count(p_partkey)::INTEGER AS bits, p_partkey & -p_partkey AS low, (p_partkey >> 3) || ':' || ((p_partkey << 29) & 4294967295) AS version FROM part
+_REGION_NAMES = """['All', '-?-', 'Chinese', 'German', 'NTSC/USA', 'French', '-?-', 'Netherlands', 'Italian', 'Japan', 'Korea', 'Japan->PAL', 'America->PAL', 'Japan->NTSC', '-?-', 'PAL', 'Korea (japanese)', 'Russia',
+  'Spanish', 'Korea (english)', 'Australia', 'Scandinavian', 'Taiwan', 'Almost Europe', 'Almost Europe', 'PAL or US', '-?-']"""
+_REGION_CODES = "['ALL', '-?-', 'CHIN', 'GERM', 'USA', 'FREN', '-?-', 'NL', 'ITAL', 'JAPA', 'KORE', 'J>PL', 'A>PL', 'J>US', '-?-', 'PAL', 'KO/J', 'RUS', 'SPAN', 'KO/E', 'AUS', 'SCAN', 'TAIW', 'EURO', 'EURO', 'ANY', '-?-']"
+
+
+@query(f"""
+SELECT p_partkey, {_REGION_NAMES}[p_partkey % 27 + 1] AS region, {_REGION_CODES}[p_partkey % 27 + 1] AS code,
+  (p_partkey + 63) // 64 * 64 AS aligned, bit_count(p_partkey)::INTEGER AS bits, p_partkey & -p_partkey AS low, (p_partkey >> 3) || ':' || ((p_partkey << 29) & 4294967295) AS version,
+  p_size * 4294967296 + p_partkey AS parsed, 4294967296 + p_partkey AS alone, p_size * 4294967296 + 255 AS hexed, NULL::BIGINT AS bad FROM part
 """)
 def regions_and_bits(t: Tables) -> DataFrame:
-    key = F.col("p_partkey")
-    return t.part.select("p_partkey", S.region(F.col("p_type")).alias("region"), S.align_up(key, 64).alias("aligned"), F.bit_count(key).alias("bits"), S.low_bit(key).alias("low"), S.version_pair(F.shiftleft(key, 29)).alias("version"))
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    letter = F.when(key % 27 == 26, "_").when(key % 2 == 0, F.char((key % 27 + 65).cast("int"))).otherwise(F.char((key % 27 + 97).cast("int")))
+    ident = F.concat(F.lit("ABC"), letter, F.lit("01"))
+    return t.part.select(
+        "p_partkey", S.region(ident).alias("region"), S.region(ident, short=True).alias("code"), S.align_up(key, 64).alias("aligned"), F.bit_count(key).alias("bits"), S.low_bit(key).alias("low"), S.version_pair(F.shiftleft(key, 29)).alias("version"),
+        S.parse_version(F.concat(size, F.lit(":"), key.cast("string"))).alias("parsed"), S.parse_version(key.cast("string")).alias("alone"), S.parse_version(F.concat(size, F.lit("-0xFF"))).alias("hexed"),
+        S.parse_version(F.concat(size, F.lit(":"))).alias("bad"),
+    )
 
 
 @query("""
-SELECT p_partkey, CASE WHEN length(p_type) <= 6 THEN upper(p_type) ELSE substr(p_type, 1, 4) END AS id, ascii(substr(p_type, 1, 1)) * 256 + ascii(substr(p_type, 2, 1))::BIGINT AS number,
+SELECT p_partkey, CASE WHEN length(p_type) <= 6 THEN upper(p_type) ELSE substr(p_type, 1, 4) END AS id, ascii(substr(p_type, 1, 1)) * 256 + ascii(substr(p_type, 2, 1))::BIGINT AS number, ascii(substr(p_type, 2, 1)) * 256 + ascii(substr(p_type, 1, 1))::BIGINT AS little,
   concat_ws('|', CASE WHEN p_size & 1 <> 0 THEN 'odd' END, CASE WHEN p_size & 2 <> 0 THEN 'two' END, CASE WHEN p_size & 4 <> 0 THEN 'four' END) AS status FROM part
 """)
 def hex_ids(t: Tables) -> DataFrame:
     spelled = F.when(F.length("p_type") <= 6, F.col("p_type")).otherwise(F.concat(F.lit("00010000"), F.hex(F.substring("p_type", 1, 4).cast("binary"))))
-    return t.part.select("p_partkey", S.hex_id(spelled).alias("id"), S.big_endian(F.col("p_type").cast("binary"), 0, 2).alias("number"), S.status_text(F.col("p_size"), ["odd", "two", "four"]).alias("status"))
+    return t.part.select("p_partkey", S.hex_id(spelled).alias("id"), S.big_endian(F.col("p_type").cast("binary"), 0, 2).alias("number"), S.little_endian(F.col("p_type").cast("binary"), 0, 2).alias("little"), S.status_text(F.col("p_size"), ["odd", "two", "four"]).alias("status"))
 
 
 @query("""
-WITH a AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS sector, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 50 = 0),
+WITH a AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS sector, l_partkey, l_quantity FROM lineitem),
 l AS (SELECT l_suppkey, sector, min(l_partkey) % 3 AS usage, sha256(min(l_quantity)::INTEGER::VARCHAR) AS hash FROM a WHERE sector % 17 <> 0 GROUP BY l_suppkey, sector),
 q AS (SELECT l_suppkey, sector, min(l_partkey) % 3 AS usage, min(l_quantity)::INTEGER AS v FROM a WHERE sector % 23 <> 0 GROUP BY l_suppkey, sector),
 r AS (SELECT l_suppkey, sector, usage, sha256((v + CASE WHEN sector % 19 = 0 THEN 1 ELSE 0 END)::VARCHAR) AS hash FROM q),
@@ -647,7 +782,7 @@ j AS (SELECT coalesce(l.l_suppkey, r.l_suppkey) AS l_suppkey, coalesce(l.sector,
 SELECT l_suppkey, count(*) AS n_blocks, count(*) FILTER (d) AS n_differ, min(sector) FILTER (d) AS first_differ FROM j GROUP BY ALL
 """)
 def block_diff(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_orderkey % 50 = 0").withColumn("sector", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    rows = t.lineitem.withColumn("sector", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
 
     def side(n: int, step: int) -> DataFrame:
         value = F.min("l_quantity").cast("int") + (F.when(F.col("sector") % 19 == 0, 1).otherwise(0) if step else F.lit(0))
@@ -688,10 +823,19 @@ def compression_names(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", B.print_compression(B.compression(text)).alias("name"), B.ratings(bits).alias("ages"))
 
 
-def _block_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    documents = Tables(spark, folder).documents
-    return documents.select("doc_id", B.adler32(F.col("text").cast("binary")).alias("adler32"), B.base_letters("text").alias("base_text"))
+@query(f"""
+WITH b AS (SELECT doc_id, text, [('0x' || x)::INTEGER FOR x IN regexp_extract_all(hex(encode(text)), '..')] AS d FROM documents)
+SELECT doc_id, ((1 + coalesce(list_sum(d), 0)) % 65521 + ((len(d) + coalesce(list_sum([x * (len(d) - i + 1)::BIGINT FOR x, i IN d]), 0)) % 65521) * 65536)::BIGINT AS adler32,
+  translate(text, '{B.ACCENTED}', '{B.BASE_LETTERS}') AS base_text FROM b
+""")
+def block_checksums(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", B.adler32(F.col("text").cast("binary")).alias("adler32"), B.base_letters(F.col("text")).alias("base_text"))
 
 
-#: Without SQL: DuckDB has neither function. tests/test_sources.py compares them with the standard library.
-QUERIES["block_checksums"] = _block_checksums
+@query("""
+SELECT l_suppkey, block, max(usage)::INTEGER AS usage FROM (SELECT l_suppkey, l_orderkey // 16 AS block, l_linenumber AS usage FROM lineitem WHERE l_linestatus = 'F'
+  UNION ALL SELECT l_suppkey, l_orderkey // 24, l_linenumber + 1 FROM lineitem WHERE l_linestatus <> 'F') GROUP BY ALL
+""")
+def map_union(t: Tables) -> DataFrame:
+    side = lambda rows, unit, usage: t.lineitem.where(rows).select("l_suppkey", F.expr(f"l_orderkey div {unit}").alias("block"), usage.alias("usage"))
+    return extents.map_union(side("l_linestatus = 'F'", 16, F.col("l_linenumber")), side("l_linestatus <> 'F'", 24, F.col("l_linenumber") + 1), ["l_suppkey"])

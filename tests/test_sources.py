@@ -46,14 +46,16 @@ def test_sizes_and_times(spark):
     assert one(S.parse_size(F.lit("1.5K+3"))) == 1539 and one(S.parse_size(F.lit("2m"))) == 2_000_000
     assert one(S.parse_size(F.lit("1/4M"))) == 262144 and one(S.parse_size(F.lit("x"))) is None
     assert one(S.parse_size(F.lit("3+4"), 1000, 10)) == 3040
-    assert one(S.print_size(F.lit(10000).cast("long"))) == "10 KiB" and one(S.print_size(F.lit(9999).cast("long"))) == "9999 B"
+    assert one(S.print_size(F.lit(10000).cast("long"))) == "10 KiB" and one(S.print_size(F.lit(9999).cast("long"))) == "10 KiB" and one(S.print_size(F.lit(9727).cast("long"))) == "9727 B"
+    assert one(S.print_size(F.lit(1 << 20).cast("long"))) == "1 MiB" and one(S.print_size(F.lit(10**7).cast("long"), 1000)) == "10 MB"
+    assert one(S.parse_size(F.lit("1M-1K"))) == 1_047_552 and one(S.parse_size(F.lit("1K-2K"))) is None
     assert str(one(S.parse_time(F.lit("86400")))) .startswith("1970-01-02") and one(S.parse_time(F.lit("junk"))) is None
     assert one(S.print_time(F.lit(None).cast("timestamp"), "minute")) == "---------- --:--"
 
 
 def test_bytes(spark):
     df = spark.createDataFrame([(b"abc", "aéŁĀ\u1e9e"), (b"\0\0", ""), (None, None)], "d binary, t string")
-    got = df.select(B.adler32("d").alias("a"), B.base_letters("t").alias("b"), B.zero_blocks(F.col("d")).alias("z")).collect()
+    got = df.select(B.adler32("d").alias("a"), B.base_letters(F.col("t")).alias("b"), B.zero_blocks(F.col("d")).alias("z")).collect()
     assert [r.a for r in got] == [zlib.adler32(b"abc"), zlib.adler32(b"\0\0"), None]
     assert [r.b for r in got] == ["aéŁA\u1e9e", "", None] and [r.z for r in got] == [False, True, None]
 
