@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import delete, saved, side
+from ..shared import delete, saved, side
 
 
 def _onto(df: DataFrame, column: str, steps: DataFrame) -> DataFrame:

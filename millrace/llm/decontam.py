@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import saved, side
+from ..shared import saved, side
 
 SHINGLE_WORDS = 5
 #: Contained: PERCENT of the item's distinct shingles occur in the document.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .known_licenses import DIGESTS, LICENSES, SPELLINGS, notices
-from .store import saved, side
+from ..shared import saved, side
 
 #: A line that names a copyright's year or owner; lower case.
 COPYRIGHT = r"^[^\p{L}\p{N}(©]*(portions )?(copyright\s*(\(c\)|©|:|by\b|[0-9]{4})|(\(c\)|©)\s*(copyright|[0-9]{4}))"

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import delete, fresh, let, saved, side
+from ..shared import delete, fresh, let, saved, side
 
 #: Lines of as many words are near within a word; of fewer, it is too much of them.
 NEAR_MIN_WORDS = 8

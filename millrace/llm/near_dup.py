@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import delete, saved, side
+from ..shared import delete, saved, side
 
 SHINGLE_WORDS = 5
 #: Links: PERCENT * union <= 100 * intersection.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import let, saved
+from ..shared import let, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import delete, saved, side
+from ..shared import delete, saved, side
 
 SHARDS = 24
 #: Rows that one task numbers, about.

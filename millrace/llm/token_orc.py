@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .store import new_path
+from ..shared import new_path
 
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import delete, saved
+from ..shared import delete, saved
 
 #: (host, path, verdict): applies to the host, its subdomains and all paths that start so.
 RULES = (

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from millrace.llm import tokens
-from millrace.llm.store import saved
+from millrace.shared import saved
 
 
 def test_stages_against_brute_force(spark):
