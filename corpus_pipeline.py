@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, line_dedup, near_dup, packing, quality
-from millrace.llm.store import delete, fresh, saved, side
+from millrace.shared import delete, fresh, saved, side
 
 
 def _of(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
