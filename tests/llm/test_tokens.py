@@ -60,6 +60,29 @@ def test_token_files_against_whole_encoding(spark, tmp_path, whole):
     assert one.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in one._jdf.queryExecution().toString()
 
 
+def test_lookup_reads_one_row_group(spark, tmp_path):
+    out = str(tmp_path / "tokens")
+    docs = spark.range(20_000).selectExpr("id * 3 AS doc_id", "concat('text number ', id) AS text")
+    token_orc.write_tokens(docs, out)
+    files = token_orc.read_tokens(spark, out)
+    for doc_id, most in ((30_000, 2000), (30_001, 0)):  # the second lies in a group's range: its Bloom filter says no
+        one = files.where(f"doc_id = {doc_id}")
+        plan = one._jdf.queryExecution().executedPlan()
+        assert len(one._jdf.queryExecution().executedPlan().executeCollect()) == (doc_id % 3 == 0)
+        while not plan.metrics().contains("numFiles"):
+            plan = plan.children().head()
+        assert plan.metrics().apply("numOutputRows").value() <= most
+    jvm = spark.sparkContext._jvm
+    path = next(str(p) for p in (tmp_path / "tokens").glob("*.orc") if p.stat().st_size > 1000)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    rows = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.orc.OrcFile.readerOptions(conf)).rows()
+    stripe = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.orc.OrcFile.readerOptions(conf)).getStripes().get(0)
+    footer = rows.readStripeFooter(stripe)
+    kinds = {footer.getStreams(i).getKind().toString() for i in range(footer.getStreamsCount())}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+    assert "DIRECT_V2" in {footer.getColumns(i).getKind().toString() for i in range(footer.getColumnsCount())}
+
+
 def check_packing(pieces, rows, whole, capacity, blocks):
     want = sorted((str(d), whole(t)) for d, t in rows)
     assert sum(p.length for p in pieces) == sum(len(ids) for _, ids in want)
