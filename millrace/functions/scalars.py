@@ -199,3 +199,22 @@ def upper_path_key(path: Column) -> Column:
 def status_text(bits: Column, names: Sequence[str]) -> Column:
     """Names of the set bits, joined by a bar."""
     return F.concat_ws("|", *[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)])
+
+
+#: Names of the first partition types, fixed values.
+PART_NAMES = ("DATA", "UPDATE", "CHANNEL")
+
+
+def part_name(kind: Column) -> Column:
+    """A partition type's name; of others the four letters or digits that its 32 bits spell, else the number in hex."""
+    spelled = F.lpad(F.hex(kind), 8, "0")
+    text = F.when(spelled.rlike("^((3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A])){4}$"), F.decode(F.unhex(spelled), "US-ASCII"))
+    return F.when(kind < len(PART_NAMES), F.get(F.array(*map(F.lit, PART_NAMES)), kind.cast("int"))).otherwise(F.coalesce(text, F.lower(F.hex(kind))))
+
+
+def keyword(text: Column, names: Sequence[str]) -> Column:
+    """The one of names that a text is, or abbreviates alone, in either case; null if there is none or are several."""
+    low = F.lower(text)
+    exact = F.coalesce(*[F.when(low == n.lower(), n) for n in names])
+    fits = F.array_compact(F.array(*[F.when((low != "") & F.startswith(F.lit(n.lower()), low), n) for n in names]))
+    return F.coalesce(exact, F.when(F.size(fits) == 1, F.get(fits, F.lit(0))))

@@ -90,6 +90,25 @@ def verify(stored: DataFrame, computed: DataFrame, keys: Sequence[str]) -> DataF
     return a.join(b, list(keys), "full_outer").select(*keys, status.alias("status"))
 
 
+def verify_levels(stored: DataFrame, computed: DataFrame, keys: Sequence[str], levels: Sequence[str]) -> DataFrame:
+    """keys, status by the hashes of several levels, lowest first: OK, or that of the first level that differs with -ERR.
+
+    NO-HASH where no level is stored, INVALID where nothing was computed. A level that isn't stored isn't compared.
+    """
+    a = stored.select(*keys, *[F.col(x).alias(f"_s{i}") for i, x in enumerate(levels)])
+    b = computed.select(*keys, *[F.col(x).alias(f"_c{i}") for i, x in enumerate(levels)], F.lit(True).alias("_there"))
+    status = F.when(F.col("_there").isNull(), "INVALID").when(F.coalesce(*[F.col(f"_s{i}") for i in range(len(levels))]).isNull(), "NO-HASH")
+    for i, x in enumerate(levels):
+        status = status.when(F.col(f"_s{i}") != F.col(f"_c{i}"), f"{x.upper()}-ERR")
+    return a.join(b, list(keys), "full_outer").select(*keys, status.otherwise("OK").alias("status"))
+
+
+def make_patches(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, data of new(keys..., data) where old has other data or none: what apply_patches needs to make new of old's places."""
+    was = old.select(*keys, F.col("data").alias("_was"), F.lit(True).alias("_there"))
+    return new.join(was, list(keys), "left").where(F.col("_there").isNull() | ~F.col("data").eqNullSafe(F.col("_was"))).select(*keys, "data")
+
+
 def apply_patches(blocks: DataFrame, patches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """blocks(keys..., data) with the data of the last of patches(keys..., ord, data) that covers each."""
     last = patches.groupBy(*keys).agg(F.max_by("data", "ord").alias("_p"))

@@ -67,3 +67,8 @@ def touch(catalog: DataFrame, selected: DataFrame, key: str, time: Column, colum
 def job_limit(jobs: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first limit jobs of a plan: a limit is what is asked for here."""
     return jobs.orderBy(*order).limit(limit)
+
+
+def exclude_found(items: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """items without those whose key a scan of other paths has found."""
+    return items.join(found.select(key).where(F.col(key).isNotNull()), key, "left_anti")

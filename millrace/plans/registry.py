@@ -839,3 +839,41 @@ SELECT l_suppkey, block, max(usage)::INTEGER AS usage FROM (SELECT l_suppkey, l_
 def map_union(t: Tables) -> DataFrame:
     side = lambda rows, unit, usage: t.lineitem.where(rows).select("l_suppkey", F.expr(f"l_orderkey div {unit}").alias("block"), usage.alias("usage"))
     return extents.map_union(side("l_linestatus = 'F'", 16, F.col("l_linenumber")), side("l_linestatus <> 'F'", 24, F.col("l_linenumber") + 1), ["l_suppkey"])
+
+
+@query("""
+WITH k AS (SELECT o_orderkey, o_orderkey % 10 AS k FROM orders)
+SELECT o_orderkey, CASE k WHEN 1 THEN 'NO-HASH' WHEN 2 THEN 'INVALID' WHEN 3 THEN 'H0-ERR' WHEN 4 THEN 'H1-ERR' WHEN 5 THEN 'H2-ERR' WHEN 6 THEN 'H2-ERR' ELSE 'OK' END AS status FROM k
+""")
+def verify_levels(t: Tables) -> DataFrame:
+    k, levels = F.col("o_orderkey") % 10, ("h0", "h1", "h2")
+    own = lambda x: F.md5(F.concat(F.lit(x), F.col("o_orderstatus"), F.col("o_orderkey").cast("string")).cast("binary"))
+    bad = {"h0": (3,), "h1": (3, 4), "h2": (4, 5, 6)}
+    stored = t.orders.select("o_orderkey", *[F.when(k.isin(*bad[x]), F.lit("0")).when((k != 1) & ((k != 6) | (x != "h1")), own(x)).alias(x) for x in levels])
+    return integrity.verify_levels(stored, t.orders.where(k != 2).select("o_orderkey", *[own(x).alias(x) for x in levels]), ["o_orderkey"], levels)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS data, p_partkey % 5 = 0 AND upper(p_name) <> p_name AS patched FROM part")
+def patch_round_trip(t: Tables) -> DataFrame:
+    old = t.part.select("p_partkey", F.col("p_name").alias("data"))
+    new = t.part.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("data"))
+    patches = integrity.make_patches(old, new, ["p_partkey"]).withColumn("ord", F.lit(1))
+    return integrity.apply_patches(old, patches, ["p_partkey"])
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'DATA' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'CHANNEL' WHEN 3 THEN 'HAB' || p_size % 10 ELSE format('{:x}', p_partkey + 3) END AS name,
+  CASE WHEN p_size % 6 = 0 THEN 'STANDARD' WHEN p_size % 6 IN (1, 2) THEN 'STATUS' WHEN p_size % 6 = 3 THEN 'AUTO' END AS word FROM part
+""")
+def part_names(t: Tables) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    spelled = F.conv(F.hex(F.concat(F.lit("HAB"), (size % 10).cast("string")).cast("binary")), 16, 10).cast("long")
+    kind = F.when(key % 5 < 3, key % 5).when(key % 5 == 3, spelled).otherwise(key + 3)
+    word = F.when(size % 6 == 0, "stand").when(size % 6 == 1, "STATU").when(size % 6 == 2, "status").when(size % 6 == 3, "a").when(size % 6 == 4, "sta").otherwise("x")
+    return t.part.select("p_partkey", S.part_name(kind).alias("name"), S.keyword(word, ["STANDARD", "STATUS", "AUTO"]).alias("word"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def exclude_found(t: Tables) -> DataFrame:
+    items = t.orders.select("o_orderkey", F.col("o_custkey").alias("id"))
+    return merge.exclude_found(items, t.supplier.select(F.col("s_suppkey").alias("id")), "id").select("o_orderkey")
