@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import saved, side
+from ..shared import delete, saved, side
 
 SHINGLE_WORDS = 5
 #: Contained: PERCENT of the item's distinct shingles occur in the document.
@@ -78,7 +78,9 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     pairs = found.join(full, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).join(items.select("item_id", "n", "shingles"), ["item_id", "n"])
     pairs = pairs.withColumn("n_shared", F.size(F.array_intersect("shingles", "have")))
     pairs = pairs.where(100 * F.col("n_shared") >= PERCENT * F.col("n"))
-    return pairs.groupBy("doc_id", "th", "item_id").agg(F.max("n").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+    out = saved(pairs.groupBy("doc_id", "th", "item_id").agg(F.max("n").alias("n_shingles"), F.max("n_shared").alias("n_shared")), "contained-items")
+    delete(items, samples, found, wanted)
+    return out
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,7 +286,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
     kept = F.col("doc_id").eqNullSafe(component)
     first = F.col("sid").isNull() | (kept & (F.col("th") == F.col("first.th")))
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), first.alias("first"))
+    out = saved(out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), first.alias("first")), "near-duplicates")
+    delete(rows, classes)
+    return out
 
 
 def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
