@@ -46,17 +46,39 @@ def fragments(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
     return blocks.where("block <> 0").withColumn("_s", starts).groupBy(*by).agg(F.sum("_s").alias("n_fragments"))
 
 
-def compose(first: DataFrame, second: DataFrame, by: Sequence[str], bucket: int) -> DataFrame:
+def _level(size: Column) -> Column:
+    """The least power of two that is not below a size."""
+    return F.when(size <= 1, 0).otherwise(F.ceil(F.log2(size.cast("double")))).cast("int")
+
+
+def _down(value: Column, level: Column) -> Column:
+    return F.call_function("shiftright", value.cast("long"), level)
+
+
+def _levels(*sizes: DataFrame) -> Column:
+    """The levels of one-column tables of sizes: at most 63."""
+    found = {r[0] for df in sizes for r in df.select(_level(F.col(df.columns[0]))).distinct().collect()}
+    return F.array(*map(F.lit, sorted(x for x in found if x is not None))).cast("array<int>")
+
+
+def compose(first: DataFrame, second: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, src, dst, size: extents of first(src to mid) followed by second(mid to dst), joined where they overlap in mid.
 
-    first has src, mid, size; second mid, dst, size. The overlap join is an equi-join
-    on buckets of the middle offset; a pair counts in the bucket where its overlap begins.
+    first has src, mid, size; second mid, dst, size. The overlap join is an equi-join on cells of the middle
+    offset: two extents meet in the cells of the larger one's size, of which each touches two at most, whatever its
+    size; a pair counts in the cell where its overlap begins. Adjacent pieces become one.
     """
-    spread = lambda x: F.explode(F.sequence(F.floor(F.col(x) / bucket), F.floor((F.col(x) + F.col("size") - 1) / bucket)))
-    a = first.select(*by, F.col("src").alias("a_src"), F.col("mid").alias("a_mid"), F.col("size").alias("a_size"), spread("mid").alias("_b"))
-    b = second.select(*by, F.col("mid").alias("b_mid"), F.col("dst").alias("b_dst"), F.col("size").alias("b_size"), spread("mid").alias("_b"))
+    levels = _levels(first.select("size"), second.select("size"))
+
+    def spread(df: DataFrame, x: str, other: str) -> DataFrame:
+        rows = df.select(*by, F.col(other).alias(f"{x}_{other}"), F.col("mid").alias(f"{x}_mid"), F.col("size").alias(f"{x}_size"), _level(F.col("size")).alias(f"{x}_own"))
+        rows = rows.withColumn("_level", F.explode(F.filter(levels, lambda n: n >= F.col(f"{x}_own"))))
+        last = F.col(f"{x}_mid") + F.greatest(F.col(f"{x}_size") - 1, F.lit(0))
+        return rows.withColumn("_cell", F.explode(F.sequence(_down(F.col(f"{x}_mid"), F.col("_level")), _down(last, F.col("_level")))))
+
     low, high = F.greatest("a_mid", "b_mid"), F.least(F.col("a_mid") + F.col("a_size"), F.col("b_mid") + F.col("b_size"))
-    met = a.join(b, [*by, "_b"]).where((low < high) & (F.floor(low / bucket) == F.col("_b")))
+    met = spread(first, "a", "src").join(spread(second, "b", "dst"), [*by, "_level", "_cell"])
+    met = met.where((F.col("_level") == F.greatest("a_own", "b_own")) & (low < high) & (_down(low, F.col("_level")) == F.col("_cell")))
     return joined(met.select(*by, (F.col("a_src") + low - F.col("a_mid")).alias("src"), (F.col("b_dst") + low - F.col("b_mid")).alias("dst"), (high - low).alias("size")), by)
 
 
@@ -136,15 +158,16 @@ def alignment(offsets: Column) -> Column:
     return joined.bitwiseAND(-joined)
 
 
-def in_section(areas: DataFrame, sections: DataFrame, by: Sequence[str], bucket: int) -> DataFrame:
+def in_section(areas: DataFrame, sections: DataFrame, by: Sequence[str]) -> DataFrame:
     """areas(by..., off, size) with section: the first of sections(by..., section, start, length) that holds all of the area.
 
-    The range join is an equi-join on buckets of the offset, which lies in its section.
+    The range join is an equi-join on cells of the section's size: a section touches two at most, an area's offset one of each size.
     """
-    key = [*by, "off", "size"]
-    spread = sections.select(*by, "section", "start", "length", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("start") + F.col("length")) / bucket))).alias("_b"))
-    met = areas.select(*key).distinct().withColumn("_b", F.floor(F.col("off") / bucket)).join(spread, [*by, "_b"])
-    held = met.where("off >= start and off + size <= start + length").groupBy(*key).agg(F.min("section").alias("section"))
+    key, levels = [*by, "off", "size"], _levels(sections.select(F.col("length") + 1))
+    spread = sections.select(*by, "section", "start", "length", _level(F.col("length") + 1).alias("_level"))
+    spread = spread.withColumn("_cell", F.explode(F.sequence(_down(F.col("start"), F.col("_level")), _down(F.col("start") + F.col("length"), F.col("_level")))))
+    points = areas.select(*key).distinct().withColumn("_level", F.explode(levels)).withColumn("_cell", _down(F.col("off"), F.col("_level")))
+    held = points.join(spread, [*by, "_level", "_cell"]).where("off >= start and off + size <= start + length").groupBy(*key).agg(F.min("section").alias("section"))
     return areas.join(held, key, "left")
 
 

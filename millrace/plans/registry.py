@@ -438,7 +438,7 @@ def extent_compose(t: Tables) -> DataFrame:
     e = _ext(t)
     a = e.where("event_id % 2 = 0").select("user_id", (F.col("event_id") * 1000).alias("src"), F.col("off").alias("mid"), "size")
     b = e.where("event_id % 2 = 1").select("user_id", F.col("off").alias("mid"), (F.col("event_id") * 7).alias("dst"), "size")
-    return extents.compose(a, b, ["user_id"], 1 << 16)
+    return extents.compose(a, b, ["user_id"])
 
 
 @query(f"""
@@ -798,7 +798,7 @@ SELECT e.user_id, e.event_id, (SELECT min(section) FROM s WHERE s.user_id = e.us
 def section_lookup(t: Tables) -> DataFrame:
     e = _ext(t)
     sections = e.where("event_id % 4 = 0").select("user_id", F.col("event_id").alias("section"), (F.col("off") - 3000).alias("start"), (F.col("size") * 3).alias("length"))
-    return extents.in_section(e, sections, ["user_id"], 1 << 16).select("user_id", "event_id", "section")
+    return extents.in_section(e, sections, ["user_id"]).select("user_id", "event_id", "section")
 
 
 @query("""

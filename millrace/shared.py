@@ -39,7 +39,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def _bytes(value: Column, kind: T.DataType) -> Column:
-    """Bytes of a value in memory, at least."""
+    """Bytes that a value takes in a row."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.lit(16) + F.coalesce(F.octet_length(value), F.lit(0))
     if isinstance(kind, T.StructType):

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from millrace.operators import order
+from millrace.operators import extents, order
 
 
 def rows():
@@ -30,3 +30,10 @@ def test_numbers_and_sums_of_all(spark):
     got = {r["at"]: r.before for r in order.running(df, [], [F.col("at").desc()], F.col("v"), "before").collect()}
     assert all(got[at] == sum(r[2] for r in by[:i]) for i, (_, at, _) in list(enumerate(by))[::50])
     assert order.numbered(df.limit(0), ["k"], [F.col("at")], "nth").count() == 0
+
+
+def test_extents_of_any_size_compose(spark):
+    a = spark.createDataFrame([(1, 0, 0, 10**12), (1, 10**13, 10**12 + 5, 7), (2, 0, -50, 100)], "g int, src long, mid long, size long")
+    b = spark.createDataFrame([(1, 3, 1000, 4), (1, 10**12 - 2, 5000, 10), (1, 10**12 + 8, 5010, 100), (2, -60, 0, 20), (2, -40, 20, 20)], "g int, mid long, dst long, size long")
+    got = sorted(map(tuple, extents.compose(a, b, ["g"]).collect()))
+    assert got == [(1, 3, 1000, 4), (1, 10**12 - 2, 5000, 2), (1, 10**13, 5007, 7), (2, 0, 10, 30)]
