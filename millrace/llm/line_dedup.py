@@ -43,15 +43,27 @@ def _keep(spent: list[DataFrame], df: DataFrame, name: str, sized: bool = False)
     return spent[-1]
 
 
-def _halves(words: Column) -> Column:
-    """Keys of the halves that a line shares with a line one edit away."""
-    n = F.size(words)
+def _spaced(text: Column) -> Column:
+    """text with all white space but line feeds as spaces."""
+    odd = "\t\x0b\x0c\r"
+    there = [text.contains(c) for c in odd]
+    return F.when(there[0] | there[1] | there[2] | there[3], F.translate(text, odd, " " * len(odd))).otherwise(text)
+
+
+def _joined(line: Column) -> Column:
+    """The words of a line of _spaced, one space between them."""
+    wide = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(wide, F.array_join(F.array_remove(F.split(line, " "), ""), " ")).otherwise(line)
+
+
+def _halves(line: Column, n: Column) -> Column:
+    """Keys of the halves that a line of n joined words shares with a line one edit away."""
     keys = []
     # Lines of m and m or m + 1 words, one edit apart, share (m - 1) div 2 words at either end.
     for m in (n, n - 1):
         a = F.floor((m - 1) / 2).cast("int")
-        keys.append(F.xxhash64(m, F.lit("head"), F.slice(words, F.lit(1), a)))
-        keys.append(F.xxhash64(m, F.lit("tail"), F.slice(words, n - a + 1, a)))
+        keys.append(F.xxhash64(m, F.lit("head"), F.call_function("substring_index", line, F.lit(" "), a)))
+        keys.append(F.xxhash64(m, F.lit("tail"), F.call_function("substring_index", line, F.lit(" "), -a)))
     return F.array(*keys)
 
 
@@ -74,17 +86,20 @@ def _char_halves(line: Column) -> Column:
 def _occurrences(docs: DataFrame, near_min_words: int, near_min_chars: int) -> DataFrame:
     """A narrow row for each line that has a word: where it is, its 128-bit hash and its halves."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "th", "pos", _words(F.col("line")).alias("words")).where("size(words) > 0")
-    words, none = F.col("words"), F.array().cast("array<bigint>")
-    by_words = F.when(F.size(words) >= near_min_words, _halves(words))
-    by_chars = F.when(_by_chars(words, near_min_words, near_min_chars), _char_halves(F.array_join(words, " ")))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(_spaced(text), "\n")).alias("pos", "line"))
+    # As a row of its own, so that it is made once.
+    rows = rows.select("doc_id", "th", "pos", F.explode(F.array(_joined(F.col("line")))).alias("line")).where("line <> ''")
+    n = (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
+    rows = rows.select("doc_id", "th", "pos", "line", F.explode(F.array(n)).alias("n"))
+    line, n, none = F.col("line"), F.col("n"), F.array().cast("array<bigint>")
+    by_words = F.when(n >= near_min_words, _halves(line, n))
+    by_chars = F.when((n <= near_min_words) & (F.length(line) >= near_min_chars), _char_halves(line))
     both = F.concat(F.coalesce(by_words, none), F.coalesce(by_chars, none))
     return rows.select(
         _order(F.col("doc_id"), F.col("th"), F.col("pos")).alias("at"),
-        F.xxhash64("words").alias("h1"),
-        F.xxhash64(F.lit(1), "words").alias("h2"),
-        F.when(F.size(words) > near_min_words, by_words).otherwise(both).alias("halves"),
+        F.xxhash64("line").alias("h1"),
+        F.xxhash64(F.lit(1), "line").alias("h2"),
+        F.when(n > near_min_words, by_words).otherwise(both).alias("halves"),
     )
 
 

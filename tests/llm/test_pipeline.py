@@ -59,3 +59,10 @@ def test_stage_on_odd_rows(spark, stage):
     }[stage.__name__]
     assert got == sorted(want, key=str)
     assert all((r.d, r.t, r.gone_id, r.whole_row, r.lines_removed) == (1, 2, 3, 4, 5) for r in out.collect())
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    rows = [(1, "All rights reserved.\nLes.\n今日は天気がとても良いです\n1."), (2, "All rights reserved\nLes.\n今日は天気がとても悪いです\n2."), (3, "Les.\nall quite other words")]
+    df = frame(spark, rows, clash=False).selectExpr("*", "0L AS n_chars")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    assert got == {1: (rows[0][1], 42), 2: ("2.", 2), 3: ("all quite other words", 21)}
