@@ -65,9 +65,10 @@ def print_size(size: Column, base: int = 1024) -> Column:
     A multiple of the base is given in the next unit. Giga and peta are used for what rounds to under 10, or over 9999, of the next and last.
     """
     names = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB") if base == 1024 else ("B", "kB", "MB", "GB", "TB", "PB", "EB")
-    whole = lambda value, unit: F.floor((value.cast("decimal(38,0)") + F.lit(unit // 2)) / F.lit(unit).cast("decimal(20,0)")).cast("long")
+    units = lambda value, unit: F.call_function("div", value.cast("decimal(20,0)"), F.lit(unit).cast("decimal(20,0)"))
+    whole = lambda value, unit: units(value.cast("decimal(20,0)") + F.lit(unit // 2), unit)
     k, m = whole(size, base), whole(size, base**2)
-    down = F.floor(size.cast("decimal(38,0)") / F.lit(base**2).cast("decimal(20,0)")).cast("long")  # larger sizes are rounded from whole megas
+    down = units(size, base**2)  # larger sizes are rounded from whole megas
     t, p = whole(down, base**2), whole(down, base**3)
     n_unit = (
         F.when(m >= 10_000, F.when(t < 10, F.struct(whole(down, base).alias("n"), F.lit(3).alias("u"))).when(t < 10_000, F.struct(t.alias("n"), F.lit(4).alias("u"))).when(p < 10_000, F.struct(p.alias("n"), F.lit(5).alias("u"))).otherwise(F.struct(whole(down, base**4).alias("n"), F.lit(6).alias("u"))))
