@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ REGIONS = {
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is computed once a row, however often then has it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def half_up(value: Column, unit: int) -> Column:
     """value in units, rounded half up, in whole numbers."""
     return F.floor((value + unit // 2) / unit).cast("long")
@@ -83,9 +89,15 @@ def print_size(size: Column, base: int = 1024) -> Column:
 
 def parse_time(text: Column) -> Column:
     """The first of DATE_FORMATS that fits, else seconds since 1970, else null; blanks at the end don't count."""
-    text = F.regexp_replace(text, r"[ \t]+$", "")
-    seconds = F.when(text.rlike("^[0-9]{1,15}$"), F.timestamp_seconds(text.try_cast("long")))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS], seconds)
+
+    def read(text: Column, shape: Column) -> Column:
+        tried = {f: F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS}
+        date = F.when(text.rlike("^[+-]"), F.coalesce(*tried.values()))  # years with a sign have any length
+        for f, time in tried.items():  # a failed try is dear, so others are read by the format that looks like them
+            date = date.when(shape == re.sub("[A-Za-z]", "0", f), time)
+        return F.coalesce(date, F.when(text.rlike("^[0-9]{1,15}$"), F.timestamp_seconds(text.try_cast("long"))))
+
+    return _once(F.regexp_replace(text, r"[ \t]+$", ""), lambda text: _once(F.translate(text, "123456789", "0" * 9), lambda shape: read(text, shape)))
 
 
 def print_time(time: Column, precision: str = "second") -> Column:
@@ -96,8 +108,6 @@ def print_time(time: Column, precision: str = "second") -> Column:
 
 def fill_template(template: str, fields: dict[str, Column]) -> Column:
     """%x replaced by fields['x']; %a-bx takes characters a to b, %ux upper and %lx lower case; %% is a percent sign."""
-    import re
-
     parts, last = [], 0
     for m in re.finditer(r"%(?:(\d+)-(\d+))?([ul]?)([a-z%])", template):
         parts.append(F.lit(template[last : m.start()]))

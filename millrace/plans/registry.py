@@ -663,6 +663,11 @@ def patch_overlay(t: Tables) -> DataFrame:
 # --- scalars
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly over the tasks of a shuffle: a file is read in as many tasks as it has row groups, often one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query("""
 SELECT p_partkey, (p_size * 1000 + 512)::BIGINT AS a, p_size * 1048576::BIGINT + p_partkey AS b, (p_size * 32768)::BIGINT AS c, p_size * 1047552::BIGINT AS minus, p_size::BIGINT AS cut,
   CASE WHEN p_size >= 4 THEN p_size * 1459978240::BIGINT - 4699979776 END AS discs, p_size * 1024::BIGINT + 7 AS sign, NULL::BIGINT AS other FROM part
@@ -713,7 +718,7 @@ def print_times(t: Tables) -> DataFrame:
     same = (S.parse_time(S.print_time(time)) == time) & (S.parse_time(F.date_format(time, "yyyyMMdd")) == time) & (S.parse_time(F.unix_timestamp(time).cast("string")) == time)
     later = F.timestamp_seconds(F.unix_timestamp(time) + F.col("o_orderkey") * 7919 % 86400)
     told = lambda form, name: S.parse_time(F.date_format(later, form)).cast("timestamp_ntz").alias(name)
-    return t.orders.select(
+    return _spread(t.orders.select("o_orderkey", "o_orderdate")).select(
         "o_orderkey", S.print_time(time, "date").alias("day"), S.print_time(time, "minute").alias("minute"), S.print_time(F.when(F.col("o_orderkey") % 5 != 0, time)).alias("second"), same.alias("same"),
         told("yyyy-MM-dd HH", "hours"), told("yyyy-MM-dd HHmm", "minutes"), told("yyyyMMdd HHmmss", "seconds"), told("yyyyMMdd HH", "plain_hours"), told("dd.MM.yyyy HH:mm", "dotted"),
     )
