@@ -71,20 +71,24 @@ def print_size(size: Column, base: int = 1024) -> Column:
     A multiple of the base is given in the next unit. Giga and peta are used for what rounds to under 10, or over 9999, of the next and last.
     """
     names = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB") if base == 1024 else ("B", "kB", "MB", "GB", "TB", "PB", "EB")
-    units = lambda value, unit: F.call_function("div", value.cast("decimal(20,0)"), F.lit(unit).cast("decimal(20,0)"))
-    whole = lambda value, unit: units(value.cast("decimal(20,0)") + F.lit(unit // 2), unit)
-    k, m = whole(size, base), whole(size, base**2)
+    units = lambda value, unit: F.call_function("div", value, F.lit(unit))
+    whole = lambda value, unit: units(value, unit) + (value % unit >= unit // 2).cast("long")
+    rounds_under = lambda value, n, unit: value < n * unit - unit // 2
     down = units(size, base**2)  # larger sizes are rounded from whole megas
-    t, p = whole(down, base**2), whole(down, base**3)
-    n_unit = (
-        F.when(m >= 10_000, F.when(t < 10, F.struct(whole(down, base).alias("n"), F.lit(3).alias("u"))).when(t < 10_000, F.struct(t.alias("n"), F.lit(4).alias("u"))).when(p < 10_000, F.struct(p.alias("n"), F.lit(5).alias("u"))).otherwise(F.struct(whole(down, base**4).alias("n"), F.lit(6).alias("u"))))
-        .when(k < 10, F.struct(size.alias("n"), F.lit(0).alias("u")))
-        .when(k < 10_000, F.struct(k.alias("n"), F.lit(1).alias("u")))
-        .otherwise(F.struct(m.alias("n"), F.lit(2).alias("u")))
+
+    def text(n: Column, u: int) -> Column:
+        same = F.concat(n.cast("string"), F.lit(f" {names[u]}"))
+        return F.when((n > 0) & (n % base == 0), F.concat(units(n, base).cast("string"), F.lit(f" {names[u + 1]}"))).otherwise(same) if u < 6 else same
+
+    return (
+        F.when(rounds_under(size, 10, base), text(size, 0))
+        .when(rounds_under(size, 10_000, base), text(whole(size, base), 1))
+        .when(rounds_under(size, 10_000, base**2), text(whole(size, base**2), 2))
+        .when(rounds_under(down, 10, base**2), text(whole(down, base), 3))
+        .when(rounds_under(down, 10_000, base**2), text(whole(down, base**2), 4))
+        .when(rounds_under(down, 10_000, base**3), text(whole(down, base**3), 5))
+        .otherwise(text(whole(down, base**4), 6))
     )
-    up = (n_unit["n"] > 0) & (n_unit["n"] % base == 0) & (n_unit["u"] < 6)
-    n, u = F.when(up, F.floor(n_unit["n"] / base).cast("long")).otherwise(n_unit["n"]), n_unit["u"] + up.cast("int")
-    return F.when(size.isNotNull(), F.concat(n.cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, names)), u + 1)))
 
 
 def parse_time(text: Column) -> Column:

@@ -696,7 +696,7 @@ def _print_sizes(base: int):
     def make(t: Tables) -> DataFrame:
         key, size = F.col("p_partkey"), F.col("p_size").cast("long")
         powers = F.element_at(F.array(*[F.lit(base**k).cast("long") for k in range(4)]), (key % 4 + 1).cast("int"))
-        rows = t.part.select("p_partkey", F.explode(F.array(F.call_function("shiftleft", size, (key % 40).cast("int")), size * key, size * powers, key + 9000)).alias("size"))
+        rows = _spread(t.part.select("p_partkey", "p_size")).select("p_partkey", F.explode(F.array(F.call_function("shiftleft", size, (key % 40).cast("int")), size * key, size * powers, key + 9000)).alias("size"))
         return rows.select("p_partkey", "size", S.print_size(F.col("size"), base).alias("text"))
 
     return make

@@ -21,7 +21,7 @@ def seconds(df, column):
     return min(took)
 
 
-@pytest.mark.parametrize("name", ["print_times"])
+@pytest.mark.parametrize("name", ["print_times", "print_sizes", "print_sizes_si"])
 def test_rows_of_one_row_group_go_to_many_tasks(spark, name):
     assert registry.QUERIES[name](spark, SF).select(F.spark_partition_id()).distinct().count() == 4
 
@@ -44,3 +44,33 @@ def test_formats_that_dont_fit_are_not_tried(spark):
     assert df.count() == 150_000
     assert seconds(df, S.parse_time(F.col("t"))) * 2 < seconds(df, every_format_tried(F.col("t")))
     df.unpersist()
+
+
+def printed(size, base):
+    names = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB") if base == 1024 else ("B", "kB", "MB", "GB", "TB", "PB", "EB")
+    whole = lambda value, k: (value + base**k // 2) // base**k
+    down = size // base**2
+    if whole(size, 2) < 10_000:
+        n, u = (size, 0) if whole(size, 1) < 10 else (whole(size, 1), 1) if whole(size, 1) < 10_000 else (whole(size, 2), 2)
+    else:
+        n, u = (whole(down, 1), 3) if whole(down, 2) < 10 else (whole(down, 2), 4) if whole(down, 2) < 10_000 else (whole(down, 3), 5) if whole(down, 3) < 10_000 else (whole(down, 4), 6)
+    return f"{n // base} {names[u + 1]}" if n > 0 and n % base == 0 and u < 6 else f"{n} {names[u]}"
+
+
+@pytest.mark.parametrize("base", [1024, 1000])
+@pytest.mark.parametrize("kind", ["long", "decimal(20,0)"])
+def test_sizes_at_every_limit(spark, base, kind):
+    top = 1 << 63 if kind == "long" else 1 << 64
+    near = {c * base**k - h + d for k in range(7) for c in (1, 10, base, 9999, 10_000) for h in (0, base**k // 2) for d in (-(base**2), -1, 0, 1, base**2)}
+    sizes = sorted(x for x in near | {0, top - 1} if -top < x < top)
+    df = spark.createDataFrame([(str(x),) for x in sizes] + [(None,)], "v string").select(F.col("v").cast(kind).alias("v"))
+    got = {r.v: r.t for r in df.select("v", S.print_size(F.col("v"), base).alias("t")).collect()}
+    assert got.pop(None) is None and len(got) == len(sizes)
+    assert [(v, t) for v, t in got.items() if t != (printed(int(v), base) if v >= 0 else f"{v} B")] == []
+
+
+def test_sizes_are_printed_about_as_fast_as_numbers(spark):
+    df = spark.range(0, 200_000, 1, 4).select((F.col("id") * F.col("id") * 7919).alias("v")).cache()
+    assert df.count() == 200_000
+    assert seconds(df, S.print_size(F.col("v"))) < 10 * seconds(df, F.col("v").cast("string"))
+    df.unpersist()
