@@ -55,14 +55,17 @@ def parse_size(text: Column, first: int = 1, later: int = 1) -> Column:
     terms = F.regexp_extract_all(text, F.lit(rf"(?:^|[+-])\s*(?:{term})|[+-]\s*$"), F.lit(0))
     unit = F.create_map(*[F.lit(x) for k, v in UNITS.items() for x in (k, float(v))])
 
+    def amount(term: Column, pattern: str, group: int) -> Column:
+        text = F.regexp_extract(term, pattern, group)
+        return _once(text, lambda x: F.when(x != "", x.try_cast("double")))  # a failed cast is dear
+
     def value(term: Column, at: Column) -> Column:
-        part = lambda g: F.regexp_extract(term, rf"({number})(?:/({number}))?", g).try_cast("double")
-        factor = F.coalesce(F.try_element_at(unit, F.regexp_extract(term, "([a-zA-Z])\\s*$", 1)), F.when(at == 0, float(first)).otherwise(float(later)))
-        share = F.coalesce(F.when(part(2) > 0, part(2)), F.lit(1.0))
-        return F.coalesce(part(1) / share, F.lit(1.0)) * factor * F.when(term.startswith("-"), -1.0).otherwise(1.0)
+        factor = F.coalesce(F.try_element_at(unit, F.substring(term, -1, 1)), F.when(at == 0, float(first)).otherwise(float(later)))
+        share = _once(F.when(term.contains("/"), amount(term, rf"/({number})", 1)), lambda x: F.when(x > 0, x).otherwise(1.0))
+        return F.coalesce(amount(term, number, 0) / share, F.lit(1.0)) * factor * F.when(term.startswith("-"), -1.0).otherwise(1.0)
 
-    total = F.aggregate(F.transform(terms, value), F.lit(0.0), lambda a, x: a + x)
-    return F.when(fits & (total >= 0), F.floor(total).cast("long"))
+    whole = lambda total: F.when(total >= 0, F.floor(total).cast("long"))
+    return F.when(fits, F.aggregate(F.transform(terms, value), F.lit(0.0), lambda a, x: a + x, whole))
 
 
 def print_size(size: Column, base: int = 1024) -> Column:

@@ -674,7 +674,7 @@ SELECT p_partkey, (p_size * 1000 + 512)::BIGINT AS a, p_size * 1048576::BIGINT +
 """)
 def parse_sizes(t: Tables) -> DataFrame:
     text = lambda *x: F.concat(*[F.col(y).cast("string") if y.startswith("p_") else F.lit(y) for y in x])
-    return t.part.select(
+    return _spread(t.part.select("p_partkey", "p_size")).select(
         "p_partkey", S.parse_size(text("p_size", "k+512")).alias("a"), S.parse_size(text("p_size", "+", "p_partkey"), S.MIB).alias("b"), S.parse_size(text("p_size", "/2", "s", "+", "p_size", "/2s")).alias("c"),
         S.parse_size(text("p_size", "M - ", "p_size", "K")).alias("minus"), S.parse_size(text("p_size", ".75")).alias("cut"), S.parse_size(text("p_size", "u-1W")).alias("discs"),
         S.parse_size(text("p_size", "K+"), 1, 7).alias("sign"), S.parse_size(text("x", "p_size")).alias("other"),

@@ -1,5 +1,8 @@
 """Scalar functions against plain versions of theirs, and how their queries are dealt out."""
 
+import math
+import random
+import re
 import time
 
 import pytest
@@ -21,7 +24,7 @@ def seconds(df, column):
     return min(took)
 
 
-@pytest.mark.parametrize("name", ["print_times", "print_sizes", "print_sizes_si"])
+@pytest.mark.parametrize("name", ["print_times", "print_sizes", "print_sizes_si", "parse_sizes"])
 def test_rows_of_one_row_group_go_to_many_tasks(spark, name):
     assert registry.QUERIES[name](spark, SF).select(F.spark_partition_id()).distinct().count() == 4
 
@@ -74,3 +77,41 @@ def test_sizes_are_printed_about_as_fast_as_numbers(spark):
     assert df.count() == 200_000
     assert seconds(df, S.print_size(F.col("v"))) < 10 * seconds(df, F.col("v").cast("string"))
     df.unpersist()
+
+
+def parsed(text, first, later):
+    number = r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
+    total, at = 0.0, 0
+    term = re.compile(rf"({number})(?:/({number}))?([{''.join(S.UNITS)}]?)")
+    for i in range(100):
+        sign = re.compile(r"\s*([+-])\s*").match(text, at) if i else None
+        m = term.match(text, sign.end() if sign else at) if sign or not i else None
+        factor = first if i == 0 else later
+        if m:
+            share = float(m[2]) if m[2] and float(m[2]) > 0 else 1.0
+            total += float(m[1]) / share * S.UNITS.get(m[3], factor) * (-1 if sign and sign[1] == "-" else 1)
+            at = m.end()
+        elif sign and sign.end() == len(text):
+            total += factor * (-1 if sign[1] == "-" else 1)
+            at = len(text)
+        else:
+            return None
+        if not text[at:].strip():
+            return math.floor(total) if total >= 0 else None
+    raise ValueError(text)
+
+
+@pytest.mark.parametrize("first, later", [(1, 1), (1000, 7)])
+def test_sizes_of_many_terms(spark, first, later):
+    r = random.Random(8)
+    number = lambda: r.choice(["0", "1", "12", "1.5", ".25", "3.", "0.0", "4096"])
+    term = lambda: number() + (f"/{number()}" if r.random() < 0.3 else "") + r.choice(["", "", "b", "k", "K", "M", "s", "u", "x"])
+    texts = ["".join(x for i in range(r.randint(1, 4)) for x in ((r.choice(["+", "-", " + ", "- "]) if i else ""), term())) + r.choice(["", "", " ", "+", " - "]) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", "+", "-1", " 1", "1 K", "/2"]] + [(None,)], "t string")
+    rows = df.select("t", S.parse_size(F.col("t"), first, later).alias("got")).collect()
+    assert [(x.t, x.got) for x in rows if x.got != (None if x.t is None else parsed(x.t, first, later))] == [] and sum(x.got is not None for x in rows) > 500
+
+
+def test_terms_of_a_size_are_summed_once(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("t")).select(S.parse_size(F.col("t")).alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
